@@ -12,9 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthvale.oracle import events as oe
+from hearthvale.oracle import farm as of
 from hearthvale.oracle import items as oi
+from hearthvale.oracle import village as ov
 from hearthvale.oracle.bridge import with_bridge
-from hearthvale.plans import items
+from hearthvale.plans import events, farm, items, village
 from hearthvale.sources.bridge import Domain
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], "str | None"]
@@ -49,5 +52,27 @@ def entries() -> dict[str, Entry]:
         "busy_locations": (_q(items.busy_locations, threshold=50000),
                            with_bridge(oi.I5.format(threshold=50000))),
         "sale_price_extremes": (_q(items.sale_price_extremes), with_bridge(oi.I6)),
+        # ---- farm
+        "fast_players": (_q(farm.fast_players), with_bridge(of.F1)),
+        "max_gold_farms": (_q(farm.max_gold_farms), with_bridge(of.F2)),
+        "productive_animals": (_q(farm.productive_animals), with_bridge(of.F3)),
+        "farm_free_space": (_q(farm.farm_free_space), with_bridge(of.F4)),
+        "mixed_barns_no_missions": (_q(farm.mixed_barns_no_missions), with_bridge(of.F5)),
+        "rich_experts": (_q(farm.rich_experts), with_bridge(of.F6)),
+        # ---- village
+        "most_connected": (_q(village.most_connected), with_bridge(ov.V1)),
+        "cold_age_gap_pairs": (_q(village.cold_age_gap_pairs, max_points=48),
+                               with_bridge(ov.V2.format(max_points=48))),
+        "most_sent_items": (_q(village.most_sent_items), with_bridge(ov.V3)),
+        "overnight_slots": (_q(village.overnight_slots), with_bridge(ov.V4)),
+        "july_births_or_rich": (_q(village.july_births_or_rich), with_bridge(ov.V5)),
+        "isolated_residents": (_q(village.isolated_residents), with_bridge(ov.V6)),
+        # ---- events
+        "active_people": (_q(events.active_people), with_bridge(oe.E1)),
+        "top_spender_per_event": (_q(events.top_spender_per_event), with_bridge(oe.E2)),
+        "museum_completion_gap": (_q(events.museum_completion_gap), with_bridge(oe.E3)),
+        "donation_mix": (_q(events.donation_mix), with_bridge(oe.E4)),
+        "best_discount_per_shop": (_q(events.best_discount_per_shop), with_bridge(oe.E5)),
+        "single_event_places": (_q(events.single_event_places), with_bridge(oe.E6)),
     }
     return reg
