@@ -158,8 +158,12 @@ def _needed(sql: str) -> set[str]:
 
 def with_bridge(sql: str) -> str:
     """Prefix ``sql`` (a plain SELECT) with the bridge CTEs it references."""
-    need = _needed(sql)
-    parts = [f"{name} AS ({body.strip()})" for name, body in CTES.items() if name in need]
+    body = sql.strip()
+    need = _needed(body)
+    parts = [f"{name} AS ({cte.strip()})" for name, cte in CTES.items() if name in need]
     if not parts:
-        return sql.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + sql.strip()
+        return body
+    if body[:4].upper() == "WITH":
+        # the query has CTEs of its own: one WITH clause, bridge first
+        return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
+    return "WITH " + ",\n".join(parts) + "\n" + body

@@ -12,12 +12,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthvale.oracle import etl as ot
 from hearthvale.oracle import events as oe
 from hearthvale.oracle import farm as of
 from hearthvale.oracle import items as oi
 from hearthvale.oracle import village as ov
 from hearthvale.oracle.bridge import with_bridge
-from hearthvale.plans import events, farm, items, village
+from hearthvale.plans import etl, events, farm, items, village
 from hearthvale.sources.bridge import Domain
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], "str | None"]
@@ -74,5 +75,18 @@ def entries() -> dict[str, Entry]:
         "donation_mix": (_q(events.donation_mix), with_bridge(oe.E4)),
         "best_discount_per_shop": (_q(events.best_discount_per_shop), with_bridge(oe.E5)),
         "single_event_places": (_q(events.single_event_places), with_bridge(oe.E6)),
+        # ---- ETL operators
+        "ingest_cast_quarantine": (_q(etl.ingest_cast_quarantine), with_bridge(ot.QUARANTINE)),
+        "etl_idempotent_append": (_q(etl.etl_idempotent_append), with_bridge(ot.IDEMPOTENT_APPEND)),
+        "etl_schedule_match": (_q(etl.etl_schedule_match), with_bridge(ot.SCHEDULE_MATCH)),
+        "etl_fill_missing": (_q(etl.etl_fill_missing), with_bridge(ot.FILL_MISSING)),
+        "etl_trade_facts": (_q(etl.etl_trade_facts), with_bridge(ot.TRADE_FACTS)),
+        "etl_first_match_lookup": (_q(etl.etl_first_match_lookup), with_bridge(ot.FIRST_MATCH_LOOKUP)),
+        "etl_first_row_per_key": (_q(etl.etl_first_row_per_key), with_bridge(ot.FIRST_ROW_PER_KEY)),
+        "etl_dimension_ids": (_q(etl.etl_dimension_ids), with_bridge(ot.DIMENSION_IDS)),
+        "etl_subtype_split": (_q(etl.etl_subtype_split), with_bridge(ot.SUBTYPE_SPLIT)),
+        "etl_canonical_edges": (_q(etl.etl_canonical_edges), with_bridge(ot.CANONICAL_EDGES)),
+        "etl_cascade_delete": (_q(etl.etl_cascade_delete), with_bridge(ot.CASCADE_DELETE)),
+        "etl_default_parents": (_q(etl.etl_default_parents), with_bridge(ot.DEFAULT_PARENTS)),
     }
     return reg
