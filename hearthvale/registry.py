@@ -16,9 +16,10 @@ from hearthvale.oracle import etl as ot
 from hearthvale.oracle import events as oe
 from hearthvale.oracle import farm as of
 from hearthvale.oracle import items as oi
+from hearthvale.oracle import streams as os_
 from hearthvale.oracle import village as ov
 from hearthvale.oracle.bridge import with_bridge
-from hearthvale.plans import etl, events, farm, items, village
+from hearthvale.plans import etl, events, farm, items, streams, village
 from hearthvale.sources.bridge import Domain
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], "str | None"]
@@ -88,5 +89,11 @@ def entries() -> dict[str, Entry]:
         "etl_canonical_edges": (_q(etl.etl_canonical_edges), with_bridge(ot.CANONICAL_EDGES)),
         "etl_cascade_delete": (_q(etl.etl_cascade_delete), with_bridge(ot.CASCADE_DELETE)),
         "etl_default_parents": (_q(etl.etl_default_parents), with_bridge(ot.DEFAULT_PARENTS)),
+        # ---- event-driven (trigger) folds
+        "stream_purchase_stock": (_q(streams.stream_purchase_stock), with_bridge(os_.PURCHASE_STOCK)),
+        "stream_barn_admission": (_q(streams.stream_barn_admission), with_bridge(os_.BARN_ADMISSION)),
+        "stream_barn_occupancy": (_q(streams.stream_barn_occupancy), with_bridge(os_.BARN_OCCUPANCY)),
+        "stream_affection_boost": (_q(streams.stream_affection_boost), with_bridge(os_.AFFECTION_BOOST)),
+        "stream_donation_reward": (_q(streams.stream_donation_reward), with_bridge(os_.DONATION_REWARD)),
     }
     return reg
