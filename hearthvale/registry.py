@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthvale.oracle import audit as oa
 from hearthvale.oracle import etl as ot
 from hearthvale.oracle import events as oe
 from hearthvale.oracle import farm as of
@@ -19,7 +20,7 @@ from hearthvale.oracle import items as oi
 from hearthvale.oracle import streams as os_
 from hearthvale.oracle import village as ov
 from hearthvale.oracle.bridge import with_bridge
-from hearthvale.plans import etl, events, farm, items, streams, village
+from hearthvale.plans import audit, etl, events, farm, items, streams, village
 from hearthvale.sources.bridge import Domain
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], "str | None"]
@@ -95,5 +96,7 @@ def entries() -> dict[str, Entry]:
         "stream_barn_occupancy": (_q(streams.stream_barn_occupancy), with_bridge(os_.BARN_OCCUPANCY)),
         "stream_affection_boost": (_q(streams.stream_affection_boost), with_bridge(os_.AFFECTION_BOOST)),
         "stream_donation_reward": (_q(streams.stream_donation_reward), with_bridge(os_.DONATION_REWARD)),
+        # ---- constraint audit
+        "audit_constraints": (_q(audit.audit_constraints), with_bridge(oa.audit_sql())),
     }
     return reg
