@@ -76,6 +76,8 @@ class SnapshotStore:
             v = self.version(name) + 1
             df.write.mode("overwrite").parquet(self.path(name, v))
             written.append((int(batch_id), name, v))
+        if not written:
+            written.append((int(batch_id), "_none", 0))
         self.spark.createDataFrame(written, _LOG_SCHEMA).write.mode("append").parquet(self._log)
 
     def init(self, tables: dict[str, DataFrame]) -> None:
@@ -93,6 +95,9 @@ def make_batch_fn(store: SnapshotStore, tables: list[str], apply: Apply):
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch_id <= store.last_batch():
             return  # already published: replay is a no-op
+        if batch.isEmpty():
+            store.publish(batch_id, {})  # record the id only; snapshots unchanged
+            return
         snaps = {t: store.read(t) for t in tables}
         store.publish(batch_id, apply(batch, snaps))
     return on_batch
