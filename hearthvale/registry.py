@@ -20,7 +20,7 @@ from hearthvale.oracle import items as oi
 from hearthvale.oracle import streams as os_
 from hearthvale.oracle import village as ov
 from hearthvale.oracle.bridge import with_bridge
-from hearthvale.plans import audit, etl, events, farm, items, streams, village
+from hearthvale.plans import audit, etl, events, farm, items, loads, streams, village
 from hearthvale.sources.bridge import Domain
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], "str | None"]
@@ -98,5 +98,7 @@ def entries() -> dict[str, Entry]:
         "stream_donation_reward": (_q(streams.stream_donation_reward), with_bridge(os_.DONATION_REWARD)),
         # ---- constraint audit
         "audit_constraints": (_q(audit.audit_constraints), with_bridge(oa.audit_sql())),
+        # ---- the whole normalising load (54 loads + 1 update); rows-only check
+        "etl_full_load": (_q(loads.full_load_counts), None),
     }
     return reg

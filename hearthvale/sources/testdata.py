@@ -18,6 +18,8 @@ TABLES = (
 class TestTables:
     """Accessor for ``<sf_dir>/<name>.parquet``; one DataFrame per name."""
 
+    __test__ = False  # not a pytest class
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
