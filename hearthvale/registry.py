@@ -26,9 +26,22 @@ from hearthvale.sources.bridge import Domain
 Entry = tuple[Callable[[SparkSession, str], DataFrame], "str | None"]
 
 
+_DOMAINS: dict[tuple[int, str], Domain] = {}
+
+
+def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
+    """One lazy Domain per (session, directory): entries share the bridged
+    DataFrame *definitions* (plan objects only — no data is cached)."""
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    d = _DOMAINS.get(key)
+    if d is None or d.spark is not spark:
+        d = _DOMAINS[key] = Domain(spark, sf_dir)
+    return d
+
+
 def _q(fn, **params):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Domain(spark, sf_dir), **params)
+        return fn(domain_for(spark, sf_dir), **params)
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run
@@ -36,7 +49,7 @@ def _q(fn, **params):
 
 def _events_ledger(fn, **params):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = Domain(spark, sf_dir)
+        d = domain_for(spark, sf_dir)
         return fn(d, ledger=d.buy_sell_events, **params)
     run.__name__ = fn.__name__
     return run

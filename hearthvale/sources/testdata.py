@@ -15,8 +15,15 @@ TABLES = (
 )
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 class TestTables:
-    """Accessor for ``<sf_dir>/<name>.parquet``; one DataFrame per name."""
+    """Accessor for ``<sf_dir>/<name>.parquet``; one DataFrame per name.
+
+    The Parquet footer is read once per path and process; later reads pass
+    the schema explicitly (no per-query schema inference on the driver).
+    """
 
     __test__ = False  # not a pytest class
 
@@ -32,5 +39,11 @@ class TestTables:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         if name not in self._dfs:
-            self._dfs[name] = self.spark.read.parquet(self.path(name))
+            p = self.path(name)
+            if p in _SCHEMAS:
+                df = self.spark.read.schema(_SCHEMAS[p]).parquet(p)
+            else:
+                df = self.spark.read.parquet(p)
+                _SCHEMAS[p] = df.schema
+            self._dfs[name] = df
         return self._dfs[name]
