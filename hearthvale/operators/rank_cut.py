@@ -21,10 +21,12 @@ def value_at_rank(df: DataFrame, col: str, num: int, den: int) -> DataFrame:
     position is computed in integers: ``(num*N + den - 1) // den``. The cut
     is NULL when the position lies among the NULLs or N = 0.
     """
-    n_all = df.agg(F.count(F.lit(1)).alias("n"))
-    pos = n_all.select(((F.col("n") * num + (den - 1)) / den).cast("bigint").alias("pos"))
-    hist = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("c"))
-    running = F.sum("c").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-    cum = hist.select(col, running.alias("cum"))
-    p = pos.scalar()
-    return cum.filter((F.col("cum") >= p) & (p >= 1)).agg(F.min(col).alias("cut"))
+    # value counts including the NULL group: N is their total, so the rows
+    # are aggregated once and everything after works on the histogram
+    hist = df.groupBy(col).agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy(F.lit(0))
+    ordered = whole.orderBy(F.col(col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.select(col, F.sum("c").over(ordered).alias("cum"),
+                      ((F.sum("c").over(whole) * num + (den - 1)) / den).cast("bigint").alias("pos"))
+    return (cum.filter(F.col(col).isNotNull() & (F.col("pos") >= 1) & (F.col("cum") >= F.col("pos")))
+               .agg(F.min(col).alias("cut")))
