@@ -55,13 +55,16 @@ def best_item_by_shop(d, action: str = "BUY") -> DataFrame:
     is the only thing broadcast.
     """
     bs = d.buy_sell.filter(F.col("action") == action).select("id_shop", "id_item", "amount")
-    totals = bs.groupBy("id_item").agg(F.sum("amount").alias("total"))
+    # the ledger is aggregated once per (item, shop); both the item totals and
+    # the per-shop rows come from that (much smaller) aggregate
+    pairs = bs.groupBy("id_item", "id_shop").agg(F.sum("amount").alias("amt"))
+    totals = pairs.groupBy("id_item").agg(F.sum("amt").alias("total"))
     best = top1_by(totals, [F.col("total").desc_nulls_first(), F.col("id_item").asc()]).select("id_item")
-    rows = bs.join(F.broadcast(best), "id_item")
+    rows = pairs.join(F.broadcast(best), "id_item")
     j = (rows.join(d.shop.select("id_shop", "name_shop", "specialization"), "id_shop")
              .join(d.item.select("id_item", "name"), "id_item"))
     return (j.groupBy("name_shop", "specialization", "name")
-             .agg(F.sum("amount").alias("num_purchases"))
+             .agg(F.sum("amt").alias("num_purchases"))
              .select(F.col("name_shop").alias("store_name"), "specialization",
                      F.col("name").alias("item_name"), "num_purchases")
              .orderBy(F.col("num_purchases").desc_nulls_first(), F.col("store_name").asc_nulls_last()))
