@@ -25,7 +25,7 @@ WHERE event_count > (
 E2 = """
 SELECT id, description, id_person, name, max_spent
 FROM (
-  SELECT e.id AS id, e.description, fs.id_person, fs.name, fs.total_spent AS max_spent,
+  SELECT e.id AS id, e.description, fs.id_person, fs.name, CAST(fs.total_spent AS DECIMAL(18,2)) AS max_spent,
          rank() OVER (PARTITION BY e.id ORDER BY fs.total_spent DESC NULLS FIRST) AS rk
   FROM events_stg e
   JOIN (SELECT id AS id_person, sum(gold_expended) AS total_spent, 'Resident' AS type, name AS name

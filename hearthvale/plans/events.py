@@ -45,7 +45,8 @@ def top_spender_per_event(d) -> DataFrame:
              .select(F.col("id").alias("id_person"), "name", "total_spent"))
     j = d.events_stg.join(spend, F.col("id_person") == F.col("id"))
     top = rank1_per_group(j, ["id"], "total_spent")
-    return (top.select("id", "description", "id_person", "name", F.col("total_spent").alias("max_spent"))
+    return (top.select("id", "description", "id_person", "name",
+                       F.col("total_spent").cast("decimal(18,2)").alias("max_spent"))
                .orderBy("id"))
 
 

@@ -32,7 +32,7 @@ _DOMAINS: dict[tuple[int, str], Domain] = {}
 def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
     """One lazy Domain per (session, directory): entries share the bridged
     DataFrame *definitions* (plan objects only — no data is cached)."""
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir.rstrip("/"))
     d = _DOMAINS.get(key)
     if d is None or d.spark is not spark:
         d = _DOMAINS[key] = Domain(spark, sf_dir)
