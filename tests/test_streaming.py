@@ -116,3 +116,23 @@ def test_runner_replay_and_file_stream(spark, tmpdir_run):
     assert rows(stream_store.read("P_STORED")) == [(7, 10, 1 + 2 + 3)]
     assert stream_store.last_batch() == 2
     assert F is not None
+
+
+def test_barn_job_over_file_stream(spark, tmpdir_run):
+    from hearthvale.streaming.jobs import BARN_ADMISSION, start_job
+    from pyspark.sql import types as T
+
+    store = SnapshotStore(spark, os.path.join(tmpdir_run, "barn"))
+    animal_cols = [f for f in BARN_ADMISSION.schema.fields if f.name != "arrival_seq"]
+    store.init({"BARN": spark.createDataFrame([(1, 2, 0), (2, None, 0)], BARN),
+                "ANIMAL": spark.createDataFrame([], T.StructType(animal_cols))})
+    src = os.path.join(tmpdir_run, "arrivals")
+    batches = [[(10, "a", 1, 1, "Healthy", 1, 1, 1), (11, "b", 1, 1, "Healthy", 2, 1, 2)],
+               [(12, "c", 1, 1, "Healthy", 1, 1, 3), (13, "d", 1, 1, "Healthy", 1, 1, 4)]]
+    for rows_ in batches:
+        spark.createDataFrame(rows_, BARN_ADMISSION.schema).coalesce(1).write.mode("append").parquet(src)
+    start_job(spark, BARN_ADMISSION, src, store, max_files_per_trigger=1)
+    # barn 1 holds 2: animals 10 and 12 get in (one per batch), 13 is turned away
+    assert sorted(r.id_animal for r in store.read("ANIMAL").collect()) == [10, 11, 12]
+    # NULL capacity never rejects, and its occupancy still counts the arrival
+    assert rows(store.read("BARN")) == [(1, 2, 2), (2, None, 1)]
