@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthvale.session import checkpoint_dir
+
 
 def _band(red: DataFrame, target: float, radius: float) -> DataFrame:
     w = max(float(radius), 1.0)
@@ -38,14 +40,23 @@ def _band(red: DataFrame, target: float, radius: float) -> DataFrame:
             .select("id1", "id2", "v1", "v2", dist.alias("dist")))
 
 
+def per_value_reduction(df: DataFrame, id_col: str, val_col: str, k: int) -> DataFrame:
+    """Step 1: the ``k+1`` smallest ids of every non-NULL value (``id, v``)."""
+    base = df.select(F.col(id_col).alias("id"), F.col(val_col).alias("v")).filter(F.col("v").isNotNull())
+    rn = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    return base.withColumn("rn", rn).filter(F.col("rn") <= k + 1).drop("rn")
+
+
 def closest_pair_sums(df: DataFrame, id_col: str, val_col: str, target: float, k: int) -> DataFrame:
     """Top-``k`` pairs ``(id1 < id2)`` by ``|v1 + v2 - target|``, then ids.
 
     Returns ``id1, id2, v1, v2, dist``. Rows with a NULL value are ignored.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(val_col).alias("v")).filter(F.col("v").isNotNull())
-    rn = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    red = base.withColumn("rn", rn).filter(F.col("rn") <= k + 1).drop("rn")
+    red = per_value_reduction(df, id_col, val_col, k)
+    # at most (k+1) rows per distinct value: materialise once (reliable
+    # checkpoint under spark.checkpoint.dir) so the radius steps reuse it
+    checkpoint_dir(df.sparkSession)
+    red = red.checkpoint(eager=True)
     stats = red.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if stats is None or stats["n"] is None or stats["n"] < 2:
         return _band(red, target, 0.0).limit(0)

@@ -63,7 +63,9 @@ def admission_decisions(arrivals: DataFrame, barn: DataFrame, mode: str = "per_r
     known = a.join(b, "id_barn")
     unlimited = known.filter(F.col("free").isNull()).select("id_animal")
     limited = known.filter(F.col("free").isNotNull() & (F.col("free") > 0))
-    k_row = limited.agg(F.max("free")).first()
+    # the bound only has to be >= every barn's free space: take it from the
+    # (small) barn snapshot, not from the arrivals join
+    k_row = b.agg(F.max("free")).first()
     k = int(k_row[0]) if k_row and k_row[0] is not None else 0
     if k > 0:
         rn = F.row_number().over(Window.partitionBy("id_barn").orderBy("arrival_seq", "id_animal"))

@@ -39,9 +39,13 @@ def test_filters_and_pruning_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)" in formatted
 
 
-@pytest.mark.parametrize("name", ["closest_pairs", "stream_barn_admission"])
-def test_topk_per_group_is_partial_before_shuffle(spark, name):
-    df = E.queries()[name](spark, SF)
-    df.count()
-    final = df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in final or "WindowGroupLimit" in _plan(df)
+def test_topk_per_group_is_partial_before_shuffle(spark):
+    from hearthvale.operators.pairs import per_value_reduction
+    from hearthvale.registry import domain_for
+
+    red = per_value_reduction(domain_for(spark, SF).food, "id_food", "health_regain", 20)
+    plan = _plan(red)
+    # a partial limit sits below the exchange, i.e. runs on the map side
+    assert plan.count("WindowGroupLimit") >= 2
+    df = E.queries()["stream_barn_admission"](spark, SF)
+    assert "WindowGroupLimit" in _plan(df)
