@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from hearthvale.session import checkpoint_dir
 
 
-def _band(red: DataFrame, target: float, radius: float) -> DataFrame:
-    w = max(float(radius), 1.0)
+def _band(red: DataFrame, target: float, radius: float, unit: float = 1.0) -> DataFrame:
+    w = max(float(radius), unit)
     a = red.select(F.col("id").alias("id1"), F.col("v").alias("v1"),
                    F.explode(F.sequence(F.floor((F.lit(target) - F.col("v") - radius) / w),
                                         F.floor((F.lit(target) - F.col("v") + radius) / w)))
@@ -57,15 +57,23 @@ def closest_pair_sums(df: DataFrame, id_col: str, val_col: str, target: float, k
     # checkpoint under spark.checkpoint.dir) so the radius steps reuse it
     checkpoint_dir(df.sparkSession)
     red = red.checkpoint(eager=True)
-    stats = red.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    stats = red.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"),
+                    F.max(F.abs(F.col("v") - F.floor("v"))).alias("frac")).first()
     if stats is None or stats["n"] is None or stats["n"] < 2:
         return _band(red, target, 0.0).limit(0)
-    lo, hi = float(stats["lo"]), float(stats["hi"])
+    lo, hi, n = float(stats["lo"]), float(stats["hi"]), int(stats["n"])
     max_dist = max(abs(2 * lo - target), abs(2 * hi - target), abs(lo + hi - target))
+    # radius steps: exact matches first, then the mean spacing of the values
+    # (1 for integers), doubling; dense data starts with small buckets, so
+    # no step enumerates far more pairs than the one before it
+    if float(stats["frac"] or 0) == 0:
+        unit = 1.0
+    else:
+        unit = max((hi - lo) / n, 1e-9 * max(1.0, abs(hi), abs(lo)))
     radius = 0.0
     while True:
-        if radius >= max_dist or _band(red, target, radius).count() >= k:
+        if radius >= max_dist or _band(red, target, radius, unit).count() >= k:
             break
-        radius = 1.0 if radius == 0 else radius * 2
-    band = _band(red, target, min(radius, max_dist))
+        radius = unit if radius == 0 else radius * 2
+    band = _band(red, target, min(radius, max_dist), unit)
     return band.orderBy(F.col("dist").asc(), F.col("id1").asc(), F.col("id2").asc()).limit(k)

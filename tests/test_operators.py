@@ -106,3 +106,17 @@ def test_rank_cut_equals_percentile_disc_without_nulls(spark):
     cut = value_at_rank(df, "v", 97, 100).first().cut
     ref = df.selectExpr("percentile_disc(0.97) WITHIN GROUP (ORDER BY v) AS p").first().p
     assert cut == ref
+
+
+def test_pair_search_continuous_values_equals_naive(spark):
+    from decimal import Decimal
+    rnd = random.Random(11)
+    data = [(i, Decimal(rnd.randint(0, 100000)) / Decimal(1000)) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, v decimal(10,3)")
+    fast = [(r.id1, r.id2) for r in closest_pair_sums(df, "id", "v", 100.0, 15).collect()]
+    a, b = df.alias("a"), df.alias("b")
+    naive = (a.join(b, F.col("a.id") < F.col("b.id"))
+             .select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"),
+                     F.abs(F.col("a.v") + F.col("b.v") - 100).alias("d"))
+             .orderBy("d", "id1", "id2").limit(15))
+    assert fast == [(r.id1, r.id2) for r in naive.collect()]
