@@ -19,8 +19,11 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from hearthvale.streaming.runner import SnapshotStore, make_batch_fn
+from pyspark.sql import functions as F
+
+from hearthvale.streaming.runner import Changes, SnapshotStore, make_batch_fn
 from hearthvale.streaming.triggers import (
+    REWARD_ITEM,
     apply_affection_boost,
     apply_barn_admission,
     apply_donation_reward,
@@ -33,46 +36,69 @@ class Job:
     name: str
     tables: tuple[str, ...]
     schema: T.StructType
-    apply: Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame]]
+    apply: Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame | Changes]]
+    keys: dict[str, list[str]]
+
+
+# Each batch writes only the rows whose key it touched (``Changes``): the
+# fold's new snapshot restricted, by a semi join, to the batch's keys.
+
+def _touched(new: DataFrame, keys: DataFrame) -> Changes:
+    return Changes(new.join(keys.distinct(), list(keys.columns), "left_semi"))
 
 
 def _purchase(batch, s):
     s1, p1 = apply_purchase_stock(batch, s["S_STORED"], s["P_STORED"])
-    return {"S_STORED": s1, "P_STORED": p1}
+    buys = batch.filter(F.col("action") == "BUY")
+    return {"S_STORED": _touched(s1, buys.select("id_shop", "id_item")),
+            "P_STORED": _touched(p1, buys.select("id_player", "id_item"))}
 
 
 def _barn(batch, s):
     decisions, barn = apply_barn_admission(batch, s["BARN"])
     admitted = decisions.filter("admitted").select("id_animal")
-    animals = s["ANIMAL"].unionByName(batch.join(admitted, "id_animal", "left_semi")
-                                      .select(*s["ANIMAL"].columns))
-    return {"BARN": barn, "ANIMAL": animals}
+    new_animals = batch.join(admitted, "id_animal", "left_semi").select(*s["ANIMAL"].columns)
+    return {"BARN": _touched(barn, batch.select("id_barn")), "ANIMAL": Changes(new_animals)}
 
 
 def _affection(batch, s):
-    return {"RELATIONSHIP": apply_affection_boost(batch, s["RELATIONSHIP"])}
+    new = apply_affection_boost(batch, s["RELATIONSHIP"])
+    fired = (batch.filter(F.col("old_personality") != F.col("new_personality"))
+             .select(F.col("id_inhabitant").alias("id")).distinct())
+    touched = (new.join(fired.withColumnRenamed("id", "id_character1"), "id_character1", "left_semi")
+               .unionByName(new.join(fired.withColumnRenamed("id", "id_character2"), "id_character2", "left_semi"))
+               .distinct())
+    return {"RELATIONSHIP": Changes(touched)}
 
 
 def _reward(batch, s):
-    return {"P_STORED": apply_donation_reward(batch, s["P_STORED"])}
+    new = apply_donation_reward(batch, s["P_STORED"])
+    donors = (batch.filter(F.upper("condition_object") == "NEW")
+              .select("id_player", F.lit(REWARD_ITEM).cast("bigint").alias("id_item")))
+    return {"P_STORED": _touched(new, donors)}
 
 
 PURCHASE_STOCK = Job("purchase_stock", ("S_STORED", "P_STORED"), T.StructType.fromDDL(
     "id_shop bigint, id_player bigint, id_item bigint, action_time timestamp_ntz, action string, "
-    "money_fluctuation decimal(18,2), amount bigint"), _purchase)
+    "money_fluctuation decimal(18,2), amount bigint"), _purchase,
+    {"S_STORED": ["id_shop", "id_item"], "P_STORED": ["id_player", "id_item"]})
 BARN_ADMISSION = Job("barn_admission", ("BARN", "ANIMAL"), T.StructType.fromDDL(
     "id_animal bigint, name_animal string, age bigint, id_animal_specie bigint, health string, "
-    "id_barn bigint, quantity bigint, arrival_seq bigint"), _barn)
+    "id_barn bigint, quantity bigint, arrival_seq bigint"), _barn,
+    {"BARN": ["id_barn"], "ANIMAL": ["id_animal"]})
 AFFECTION_BOOST = Job("affection_boost", ("RELATIONSHIP",), T.StructType.fromDDL(
-    "id_inhabitant bigint, old_personality string, new_personality string"), _affection)
+    "id_inhabitant bigint, old_personality string, new_personality string"), _affection,
+    {"RELATIONSHIP": ["id_character1", "id_character2"]})
 DONATION_REWARD = Job("donation_reward", ("P_STORED",), T.StructType.fromDDL(
-    "id_donatable bigint, id_museum bigint, id_player bigint, condition_object string"), _reward)
+    "id_donatable bigint, id_museum bigint, id_player bigint, condition_object string"), _reward,
+    {"P_STORED": ["id_player", "id_item"]})
 
 
 def start_job(spark: SparkSession, job: Job, source_dir: str, store: SnapshotStore,
               available_now: bool = True, processing_time: str = "1 minute",
               max_files_per_trigger: int | None = None):
     """Start (and, with ``available_now``, drain and stop) one trigger job."""
+    store.keys.update(job.keys)
     reader = spark.readStream.schema(job.schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -10,9 +10,15 @@ as ``<root>/<table>/v=<n>/`` Parquet directories. A batch:
 3. runs the pure ``apply`` function (the same one checked against SQL);
 4. writes every new snapshot to a *new* version directory (a failed or
    half-written attempt is never visible);
-5. appends one commit-log row ``(batch_id, table, version)``, which is what
-   readers follow. Writing the new version before the log makes a retried
-   batch idempotent; re-reading from Parquet cuts lineage every batch.
+5. appends one commit-log row ``(batch_id, table, version, kind)``, which is
+   what readers follow. Writing the new version before the log makes a
+   retried batch idempotent; re-reading from Parquet cuts lineage every batch.
+
+Keyed snapshots avoid rewriting the whole table per batch: an ``apply`` may
+return ``Changes(rows)`` — only the rows whose key the batch touched — which
+are written as a *delta* version. The current state is the base version plus
+the later deltas, latest row per key (one ``max_by`` aggregate, combined on
+the map side); ``compact`` folds the deltas into a new full version.
 """
 
 from __future__ import annotations
@@ -30,14 +36,24 @@ _LOG_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
     T.StructField("table", T.StringType()),
     T.StructField("version", T.LongType()),
+    T.StructField("kind", T.StringType()),
 ])
 
 
+class Changes:
+    """The rows of a keyed snapshot that a batch changed (or added)."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None,
+                 keys: dict[str, list[str]] | None = None):
         self.spark = spark
         self.root = (root or os.path.join(checkpoint_dir(spark), "snapshots")).rstrip("/")
         self._log = f"{self.root}/_commits"
+        self.keys = dict(keys or {})
 
     # ---- commit log
     def _commits(self) -> DataFrame | None:
@@ -65,21 +81,39 @@ class SnapshotStore:
         return f"{self.root}/{table}/v={version}"
 
     def read(self, table: str) -> DataFrame:
-        v = self.version(table)
-        if v < 0:
+        log = self._commits()
+        rows = [] if log is None else log.filter(F.col("table") == table).select("version", "kind").collect()
+        if not rows:
             raise KeyError(f"snapshot {table} not published")
-        return self.spark.read.parquet(self.path(table, v))
-
-    def publish(self, batch_id: int, tables: dict[str, DataFrame]) -> None:
+        base = max(r.version for r in rows if r.kind == "full")
+        deltas = sorted(r.version for r in rows if r.kind == "delta" and r.version > base)
+        df = self.spark.read.parquet(self.path(table, base))
+        if not deltas:
+            return df
+        keys = self.keys[table]
+        vals = [c for c in df.columns if c not in keys]
+        parts = df.withColumn("__v", F.lit(base))
+        for v in deltas:
+            parts = parts.unionByName(
+                self.spark.read.schema(df.schema).parquet(self.path(table, v)).withColumn("__v", F.lit(v)))
+        latest = parts.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("__v")).alias("__r"))
+        return latest.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in vals]).select(*df.columns)
+
+    def publish(self, batch_id: int, tables: dict[str, DataFrame | Changes]) -> None:
         written = []
         for name, df in tables.items():
             v = self.version(name) + 1
-            df.write.mode("overwrite").parquet(self.path(name, v))
-            written.append((int(batch_id), name, v))
+            kind = "delta" if isinstance(df, Changes) else "full"
+            (df.rows if isinstance(df, Changes) else df).write.mode("overwrite").parquet(self.path(name, v))
+            written.append((int(batch_id), name, v, kind))
         if not written:
-            written.append((int(batch_id), "_none", 0))
+            written.append((int(batch_id), "_none", 0, "none"))
         self.spark.createDataFrame(written, _LOG_SCHEMA).write.mode("append").parquet(self._log)
 
+    def compact(self, table: str, batch_id: int | None = None) -> None:
+        """Fold the deltas of a keyed snapshot into a new full version."""
+        self.publish(self.last_batch() if batch_id is None else batch_id, {table: self.read(table)})
+
     def init(self, tables: dict[str, DataFrame]) -> None:
         """Publish the starting snapshots as batch -1 (idempotent)."""
         missing = {k: v for k, v in tables.items() if self.version(k) < 0}
@@ -87,7 +121,7 @@ class SnapshotStore:
             self.publish(-1, missing)
 
 
-Apply = Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame]]
+Apply = Callable[[DataFrame, dict[str, DataFrame]], dict[str, "DataFrame | Changes"]]
 
 
 def make_batch_fn(store: SnapshotStore, tables: list[str], apply: Apply):

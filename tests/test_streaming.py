@@ -136,3 +136,28 @@ def test_barn_job_over_file_stream(spark, tmpdir_run):
     assert sorted(r.id_animal for r in store.read("ANIMAL").collect()) == [10, 11, 12]
     # NULL capacity never rejects, and its occupancy still counts the arrival
     assert rows(store.read("BARN")) == [(1, 2, 2), (2, None, 1)]
+
+
+def test_purchase_job_writes_only_touched_rows(spark, tmpdir_run):
+    from hearthvale.streaming.jobs import PURCHASE_STOCK, start_job
+
+    store = SnapshotStore(spark, os.path.join(tmpdir_run, "stock"))
+    s0 = spark.createDataFrame([(1, i, 100) for i in range(50)], S)
+    store.init({"S_STORED": s0, "P_STORED": spark.createDataFrame([(7, 1, 1)], P)})
+    src = os.path.join(tmpdir_run, "buys")
+    import datetime as dt
+    from decimal import Decimal
+    t = dt.datetime(2024, 1, 1)
+    evs = [[(1, 7, 1, t, "BUY", Decimal("-1.00"), 2), (1, 8, 2, t, "BUY", Decimal("-1.00"), 3)],
+           [(1, 7, 1, t, "BUY", Decimal("-1.00"), 4), (1, 7, 3, t, "SELL", Decimal("1.00"), 9)]]
+    for rows_ in evs:
+        spark.createDataFrame(rows_, PURCHASE_STOCK.schema).coalesce(1).write.mode("append").parquet(src)
+    start_job(spark, PURCHASE_STOCK, src, store, max_files_per_trigger=1)
+    s = {(r.id_shop, r.id_item): r.quantity for r in store.read("S_STORED").collect()}
+    assert len(s) == 50 and s[(1, 1)] == 94 and s[(1, 2)] == 97 and s[(1, 3)] == 100
+    assert rows(store.read("P_STORED")) == [(7, 1, 7), (8, 2, 3)]
+    # each batch wrote only the shop rows it touched, not the 50-row table
+    last = store.version("S_STORED")
+    assert spark.read.parquet(store.path("S_STORED", last)).count() == 1
+    store.compact("S_STORED")
+    assert {(r.id_shop, r.id_item): r.quantity for r in store.read("S_STORED").collect()} == s
