@@ -120,3 +120,28 @@ def test_pair_search_continuous_values_equals_naive(spark):
                      F.abs(F.col("a.v") + F.col("b.v") - 100).alias("d"))
              .orderBy("d", "id1", "id2").limit(15))
     assert fast == [(r.id1, r.id2) for r in naive.collect()]
+
+
+def test_season_null_matches_null(spark):
+    # NVL(a,' ') = NVL(b,' ') — a NULL season on both sides matches
+    stg = spark.createDataFrame([(1, None, "08:00"), (2, "Spring", "08:00")], "rid long, season string, start string")
+    sched = spark.createDataFrame([(10, None, "08:00"), (11, "Spring", "08:00")], "sid long, s_season string, s_start string")
+    j = stg.join(sched, stg.season.eqNullSafe(sched.s_season) & (stg.start == sched.s_start))
+    assert rows(j.select("rid", "sid")) == [(1, 10), (2, 11)]
+
+
+def test_first_match_smallest_id_or_null(spark):
+    from hearthvale.operators.lookup import first_match
+    rows_ = spark.createDataFrame([(1, "Oak"), (2, "Pine"), (3, None)], "k long, village string")
+    villages = spark.createDataFrame([(7, "Oak"), (5, "Oak"), (9, "Elm")], "id_village long, name string")
+    out = first_match(rows_, "village", villages, "name", "id_village", "id_village")
+    assert rows(out.select("k", "id_village")) == [(1, 5), (2, None), (3, None)]
+
+
+def test_fill_missing_only_touches_null_targets(spark):
+    from hearthvale.operators.lookup import first_match
+    farm = spark.createDataFrame([(1, None), (2, 20), (3, None)], "id_farm long, id_player long")
+    pd = spark.createDataFrame([(1, 40), (1, 30), (2, 99)], "fid long, pid long")
+    f = first_match(farm, "id_farm", pd, "fid", "pid", "__fill")
+    out = f.select("id_farm", F.coalesce("id_player", "__fill").alias("id_player"))
+    assert rows(out) == [(1, 30), (2, 20), (3, None)]
