@@ -89,11 +89,24 @@ def best_discount_per_shop(d) -> DataFrame:
     struct (map-side partial aggregation; a hot shop is combined before the
     shuffle). Order: value DESC with NULLs first (Oracle), item id, then
     discount DESC as our tie-breaker when one item is on sale twice.
+
+    The festivals are aggregated per shop *before* the join (stocked items
+    are not multiplied by festivals): for a given price the best festival is
+    fixed by the shop's largest discount (price >= 0 or NULL), its smallest
+    (price < 0), or a NULL discount (its NULL value sorts first).
     """
+    disc = d.sell.groupBy("id_shop").agg(
+        F.max("discount").alias("d_max"), F.min("discount").alias("d_min"),
+        F.max(F.col("discount").isNull().cast("int")).alias("d_null"))
+    price = F.col("price_to_buy")
+    chosen = (F.when(price.isNull(), F.col("d_max"))
+              .when(F.col("d_null") == 1, F.lit(None))
+              .when(price >= 0, F.col("d_max")).otherwise(F.col("d_min")))
     rows = (d.shop.select("id_shop", "specialization")
-            .join(d.sell.select("id_shop", "discount"), "id_shop")
+            .join(disc, "id_shop")
             .join(d.s_stored.select("id_shop", "id_item"), "id_shop")
             .join(d.item.select("id_item", "name", "price_to_buy"), "id_item")
+            .withColumn("discount", chosen.cast("decimal(5,2)"))
             .withColumn("value", F.col("price_to_buy") * F.col("discount")))
     best = best_row_per_group(
         rows, ["id_shop"],

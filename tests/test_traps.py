@@ -173,3 +173,32 @@ def test_i1_equals_i1b(spark):
     a = rows(E.queries()["loss_making_crops"](spark, sf))
     b = rows(E.queries()["loss_making_crops_outer"](spark, sf))
     assert a == b
+
+
+def test_best_discount_equals_row_number_over_all_festivals(spark):
+    # E5 pre-aggregates festivals per shop; compare with ROW_NUMBER over the
+    # full shop x festival x stock join, with NULL discounts, NULL and
+    # negative prices and ties
+    import random
+    rnd = random.Random(5)
+    shops = [(s, f"S{s}", 1, "SP", None) for s in range(12)]
+    sell = [(f, s, None if rnd.random() < 0.1 else D(rnd.choice([5, 10, 10, 20])))
+            for s in range(12) for f in range(rnd.randint(1, 3))]
+    items = [(i, f"i{i}", None, None if rnd.random() < 0.1 else D(rnd.choice([-3, 0, 7, 7, 12])), None)
+             for i in range(30)]
+    stock = [(s, i, 1) for s in range(12) for i in rnd.sample(range(30), 6)]
+    d = domain(spark, shop=(shops, SHOP),
+               sell=(sell, "id_festivity long, id_shop long, discount decimal(5,2)"),
+               s_stored=(stock, "id_shop long, id_item long, quantity long"), item=(items, ITEM))
+    got = rows(events.best_discount_per_shop(d).select("id_shop", "id_item", "discount_pct"))
+    for name in ("shop", "sell", "s_stored", "item"):
+        getattr(d, name).createOrReplaceTempView(f"e5_{name}")
+    want = rows(spark.sql("""
+        SELECT id_shop, id_item, discount AS discount_pct FROM (
+          SELECT s.id_shop, it.id_item, se.discount,
+                 row_number() OVER (PARTITION BY s.id_shop ORDER BY it.price_to_buy * se.discount DESC NULLS FIRST,
+                                    it.id_item, se.discount DESC NULLS LAST) AS rn
+          FROM e5_shop s JOIN e5_sell se ON se.id_shop = s.id_shop
+          JOIN e5_s_stored ss ON ss.id_shop = s.id_shop JOIN e5_item it ON it.id_item = ss.id_item)
+        WHERE rn = 1"""))
+    assert got == want
