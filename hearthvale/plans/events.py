@@ -39,9 +39,12 @@ def top_spender_per_event(d) -> DataFrame:
     The rank is one aggregate per event joined back (no window over the
     per-person rows, which would put all of an event's people in one task).
     """
-    fp = d.festivity_persons
-    spend = (fp.join(d.character.select(F.col("id_character").alias("id_person"), "name"), "id_person")
-             .groupBy("id", "name").agg(F.sum("gold_expended").alias("total_spent"))
+    # spends are summed per (festival, person) before the name join, then per
+    # (festival, name) as the reference groups (same-named people merge)
+    per_person = (d.festivity_persons.groupBy("id", "id_person")
+                  .agg(F.sum("gold_expended").alias("spent")))
+    spend = (per_person.join(d.character.select(F.col("id_character").alias("id_person"), "name"), "id_person")
+             .groupBy("id", "name").agg(F.sum("spent").alias("total_spent"))
              .select(F.col("id").alias("id_person"), "name", "total_spent"))
     j = d.events_stg.join(spend, F.col("id_person") == F.col("id"))
     top = rank1_per_group(j, ["id"], "total_spent")
@@ -65,18 +68,23 @@ def museum_completion_gap(d) -> DataFrame:
 
 
 def donation_mix(d, min_donations: int = 50) -> DataFrame:
-    """Share of books and of minerals among each prolific donor's gifts."""
+    """Share of books and of minerals among each prolific donor's gifts.
+
+    Donations are counted per player first; the name (a unique-key lookup)
+    is joined to one row per player that passes the threshold, not to
+    every donation.
+    """
     don = (d.donation.select("id_player", "id_donatable")
-           .join(d.character.select(F.col("id_character").alias("id_player"), "name"), "id_player")
            .join(d.book.select(F.col("id_book").alias("id_donatable"), F.lit(1).alias("is_book")),
                  "id_donatable", "left")
            .join(d.mineral.select(F.col("id_mineral").alias("id_donatable"), F.lit(1).alias("is_mineral")),
                  "id_donatable", "left"))
-    g = (don.groupBy("id_player", "name")
+    g = (don.groupBy("id_player")
          .agg(F.count(F.lit(1)).alias("total_donations"),
               F.sum(F.when(F.col("is_book").isNotNull(), 1).otherwise(0)).alias("books"),
               F.sum(F.when(F.col("is_mineral").isNotNull(), 1).otherwise(0)).alias("minerals"))
-         .filter(F.col("total_donations") > min_donations))
+         .filter(F.col("total_donations") > min_donations)
+         .join(d.character.select(F.col("id_character").alias("id_player"), "name"), "id_player"))
     pct = lambda c: round2(F.lit(100.0) * F.col(c) / F.col("total_donations"))
     return g.select("id_player", "name", pct("books").alias("book_percentage"),
                     pct("minerals").alias("mineral_percentage"), "total_donations")
