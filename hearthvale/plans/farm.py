@@ -84,13 +84,15 @@ def mixed_barns_no_missions(d) -> DataFrame:
     """barns holding more than one species, of players who completed no mission."""
     done = d.player_mission.filter(F.col("is_completed") == 1).select("id_player")
     players = not_in(d.player.select("id_player", "nickname"), "id_player", done, "id_player")
-    chain = (players.join(d.farm_p, "id_player")
-             .join(d.farmbuilding_p, "id_farm")
-             .join(d.barn.select(F.col("id_barn").alias("id_farm_building"), F.col("id_barn")), "id_farm_building")
-             .join(d.animal.select("id_barn", "id_animal_specie"), "id_barn"))
-    g = (chain.groupBy("id_player", "nickname", "id_barn")
-         .agg(F.countDistinct("id_animal_specie").alias("species_count"))
-         .filter(F.col("species_count") > 1))
+    # distinct species are counted per barn first (a COUNT DISTINCT does not
+    # change under the chain's joins), so the chain joins one row per barn
+    mixed = (d.animal.groupBy("id_barn").agg(F.countDistinct("id_animal_specie").alias("species_count"))
+             .filter(F.col("species_count") > 1))
+    g = (players.join(d.farm_p, "id_player")
+         .join(d.farmbuilding_p, "id_farm")
+         .join(d.barn.select(F.col("id_barn").alias("id_farm_building"), F.col("id_barn")), "id_farm_building")
+         .join(mixed, "id_barn")
+         .select("id_player", "nickname", "id_barn", "species_count").distinct())
     return (g.select("id_player", F.col("nickname").alias("name"), F.col("id_barn").alias("id_barn_building"),
                      "species_count").orderBy("id_barn_building"))
 

@@ -108,10 +108,12 @@ def closest_pairs(d, target: int = 100, k: int = 20) -> DataFrame:
 
 def busy_locations(d, threshold: float = 200) -> DataFrame:
     """Transactions moving more than ``threshold`` gold, per location."""
-    bs = d.buy_sell.filter(F.abs("money_fluctuation") > threshold).select("id_shop")
-    j = bs.join(d.shop.select("id_shop", "id_place"), "id_shop").join(
+    # counted per shop first: the joins see one row per shop, not per transaction
+    per_shop = (d.buy_sell.filter(F.abs("money_fluctuation") > threshold)
+                .groupBy("id_shop").agg(F.count(F.lit(1)).alias("n")))
+    j = per_shop.join(d.shop.select("id_shop", "id_place"), "id_shop").join(
         d.place.select("id_place", "location_name"), "id_place")
-    return (j.groupBy("location_name").agg(F.count(F.lit(1)).alias("transaction_count"))
+    return (j.groupBy("location_name").agg(F.sum("n").alias("transaction_count"))
              .orderBy(F.col("transaction_count").desc_nulls_first()))
 
 
