@@ -34,10 +34,12 @@ def max_gold_farms(d, quality: str = "Gold") -> DataFrame:
     maximum is a one-row aggregate over the per-farm counts.
     """
     crop = d.crop.filter(F.col("quality") == quality).select("id_crop")
-    fields = (d.grow.join(crop, "id_crop")
-              .join(d.cultivationfield.select("id_field"), "id_field")
+    # counted per field first, so the field and building joins see one row
+    # per field; summing per farm gives the same COUNT(*) as the full chain
+    per_field = d.grow.join(crop, "id_crop").groupBy("id_field").agg(F.count(F.lit(1)).alias("n"))
+    fields = (per_field.join(d.cultivationfield.select("id_field"), "id_field")
               .join(d.farmbuilding.select(F.col("id_farm_building").alias("id_field"), "id_farm"), "id_field"))
-    per_farm = fields.groupBy("id_farm").agg(F.count(F.lit(1)).alias("num_crops"))
+    per_farm = fields.groupBy("id_farm").agg(F.sum("n").alias("num_crops"))
     counts = per_farm.join(d.farm.select("id_farm", "specialization"), "id_farm")
     return all_ties_max(counts, "num_crops").select("id_farm", "specialization", "num_crops").orderBy("id_farm")
 
