@@ -145,3 +145,19 @@ def test_fill_missing_only_touches_null_targets(spark):
     f = first_match(farm, "id_farm", pd, "fid", "pid", "__fill")
     out = f.select("id_farm", F.coalesce("id_player", "__fill").alias("id_player"))
     assert rows(out) == [(1, 30), (2, 20), (3, None)]
+
+
+def test_not_in_follows_sql_null_rules(spark):
+    from hearthvale.operators.joins import not_in
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    with_null = spark.createDataFrame([(1,), (None,)], "k long")
+    plain = spark.createDataFrame([(1,)], "k long")
+    empty = spark.createDataFrame([], "k long")
+    assert not_in(left, "k", with_null, "k").count() == 0          # a NULL in the list: nothing qualifies
+    assert rows(not_in(left, "k", plain, "k")) == [(2,)]             # NULL key: unknown -> out
+    assert not_in(left, "k", empty, "k").count() == 3                # empty list: everything, NULL too
+
+
+def test_rank_cut_empty_table_gives_null(spark):
+    df = spark.createDataFrame([], "v long")
+    assert value_at_rank(df, "v", 97, 100).first().cut is None
