@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthvale.llm import packing, token_store
+from hearthvale.llm import licenses, line_dedup, packing, simhash, token_store, topk
 from hearthvale.llm.common import scratch, table
 
 
@@ -24,6 +24,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back through the index."""
     docs, path = table(spark, sf_dir, "documents"), scratch(spark, "tokens")
@@ -32,9 +37,32 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer products of every 50th embedding."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every page without its host's boilerplate lines."""
+    pages = table(spark, sf_dir, "pages")
+    host, text = line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html"))
+    out = line_dedup.drop_boilerplate(pages, host, text, out="text", host_out="host", dropped_out="n_dropped",
+                                      lines_out="n_lines")
+    return out.select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_licenses": op3_licenses,
     "op4_token_store": op4_token_store,
+    "op6_simhash": op6_simhash,
+    "op8_topk": op8_topk,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
