@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthvale.llm import licenses, line_dedup, packing, simhash, token_store, topk
+from hearthvale.llm import decontaminate, licenses, line_dedup, packing, passages, simhash, token_store, topk
 from hearthvale.llm.common import scratch, table
 
 
@@ -24,6 +24,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share, each with its representative."""
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of all documents."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
@@ -37,6 +42,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with their share of matched words."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, bench, ["doc_id"], F.col("text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,8 +69,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_passages": op2_passages,
     "op3_licenses": op3_licenses,
     "op4_token_store": op4_token_store,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op8_topk": op8_topk,
     "op9_line_dedup": op9_line_dedup,
