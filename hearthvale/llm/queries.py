@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthvale.llm import decontaminate, licenses, line_dedup, packing, passages, simhash, token_store, topk
+from hearthvale.llm import decontaminate, licenses, line_dedup, packing, passages, quality, simhash, token_store, topk, toxicity
 from hearthvale.llm.common import scratch, table
 
 
@@ -53,6 +53,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _fold(column: str, folds: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the labels outside the held-out fifth."""
+    return toxicity.fit(docs, labels, _fold("doc_id", 5) != 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, with its nearest examples."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.with_scores(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), evidence="evidence")
+    return scored.select("doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 largest integer products of every 50th embedding."""
     return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
@@ -67,6 +84,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), _fold("doc_id", 3) != 1)
+    return quality.with_scores(docs, model).select(
+        "doc_id", F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_passages": op2_passages,
@@ -74,8 +100,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_store": op4_token_store,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
     "op9_line_dedup": op9_line_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
