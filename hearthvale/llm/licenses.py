@@ -66,7 +66,7 @@ def word_idf(words: DataFrame, n_docs: int) -> dict[str, float]:
     vocab = vocabulary()
     hit = F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in vocab])))
     df = {r["w"]: r["n"] for r in words.select(hit.alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return {w: math.log(1 + n_docs / (1 + df.get(w, 0))) for w in vocab}
+    return {w: math.log(1 + (1 + n_docs) / (1 + df.get(w, 0))) for w in vocab}
 
 
 def postings(idf: dict[str, float]) -> list[dict]:

@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 
 RATIO, MIN_PAGES = 0.2, 5
 
-_BLOCK = r"(?i)<(?:/?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|h[1-6]|table|tr|td)\b[^>]*|!--.*?--)>"
-_CODE = r"(?is)<(script|style)\b.*?</\1>"
+_BLOCK = r"(?is)<(?:/?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|h[1-6]|table|tr|td)\b[^>]*|!--.*?--)>"
+_CODE = r"(?is)<script\b.*?</script>|<style\b.*?</style>"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 _TAG = r"<[^>]*>"
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL without user and port; empty if there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
 
 
 def html_lines(html: Column) -> Column:

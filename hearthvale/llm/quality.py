@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     kind = dict(rows.dtypes)["doc_id"]
     got = rows.select("doc_id", "y", "text").mapInArrow(features, f"doc_id {kind}, y int, x binary").collect()   # at most 2 x SAMPLE
     got = sorted(got, key=lambda r: r["doc_id"])
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64).reshape(len(got), 2 * DIM + 2)
     y = np.array([r["y"] for r in got], float)
     ones = max(y.sum(), 1e-9)
     worth = np.where(y > 0, share / ones, (1 - share) / max(len(y) - y.sum(), 1e-9)) * len(y)

@@ -106,4 +106,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WHERE rank <= 5"""
+
+_OP9_SQL = f"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{line_dedup._HOST}', 1)) AS host,
+         string_split(regexp_replace(regexp_replace(regexp_replace(html, '{line_dedup._CODE}', '', 'g'),
+                      '{line_dedup._BLOCK}', chr(10), 'g'), '{line_dedup._TAG}', '', 'g'), chr(10)) AS lines
+  FROM pages),
+u AS (SELECT page_id, host, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM p),
+c AS (SELECT host, trim(line, ' ') AS line, count(DISTINCT page_id) AS n FROM u WHERE trim(line, ' ') <> '' GROUP BY ALL),
+b AS (
+  SELECT c.host, c.line FROM c JOIN (SELECT host, count(*) AS pages FROM p GROUP BY host) t ON t.host = c.host
+  WHERE n >= {line_dedup.MIN_PAGES} AND n > pages * {line_dedup.RATIO})
+SELECT page_id, any_value(u.host) AS host, CAST(count(*) AS INTEGER) AS n_lines,
+       CAST(count(b.line) AS INTEGER) AS n_dropped,
+       coalesce(string_agg(u.line, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '') AS text
+FROM u LEFT JOIN b ON b.host = u.host AND b.line = trim(u.line, ' ')
+GROUP BY page_id"""
+
+ORACLE_SQL: dict[str, str] = {"op8_topk": _OP8_SQL, "op9_line_dedup": _OP9_SQL}

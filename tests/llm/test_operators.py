@@ -1,0 +1,252 @@
+"""Each operator against a plain Python version, an exact round trip or held-out labels."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from hearthvale.llm import decontaminate, licenses, line_dedup, packing, passages, queries, simhash, token_store, tokens, topk
+from hearthvale.llm import wordhash
+from hearthvale.llm.common import scratch
+from hearthvale.llm.components import components
+
+SMALL = "/root/testdata/sf0.001"
+WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def library(name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries._tokenizer(name))
+    t.encode_special_tokens = True
+    return t
+
+
+ODD = ["a", "b", "Z", "é", "É", "é", "'", "'s", "don't", "I'm", "|", " | ", "\n", "\n\n", " ", "  ", "\t", "\r", "\x0b",
+       "\x1c", "\x85", "\xa0", " ", "​", "　", ",", ".", "!!", "1", "23", "½", "世界", "🙂", "ß", "İ", "ſ",
+       "́", "", "", "<|endoftext|>", "\x00", "the ", " of", "and"]
+
+
+@pytest.mark.parametrize("name,mode", [(WORD, "word"), (BYTE, "byte")])
+def test_cached_encoder_equals_the_library(name, mode, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    rnd = random.Random(5)
+    texts = ["", " ", "a ", " a", "a  b", "\n", "a\nb", "a \nb", "|"] + [
+        "".join(rnd.choice(ODD) for _ in range(rnd.randint(1, 40))) for _ in range(3000)]
+    enc, lib = tokens.CachedEncoder(queries._tokenizer(name), mode), library(name)
+    for i in range(0, len(texts), 200):
+        some = texts[i:i + 200]
+        for text, ids in zip(some, enc.encode(pa.array(some)).to_pylist()):
+            assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids + [2], text
+
+
+def test_packing_is_gapless_and_exact(spark, docs):
+    got = queries.op1_packing(spark, SMALL).toPandas().sort_values(["sequence_id", "offset"])
+    lib, ids = library(WORD), {}
+    for r in docs.select("doc_id", "text").collect():
+        ids[r.doc_id] = np.array(lib.encode(r.text, add_special_tokens=False).ids + [2], "<u4")
+    place = got.sequence_id * 4096 + got.offset
+    assert (place.values == np.r_[0, np.cumsum(got.length)[:-1]]).all()
+    assert got.length.sum() == sum(map(len, ids.values()))
+    for r in got.itertuples():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+
+
+def test_perfect_hash_is_minimal_and_total():
+    keys = np.unique(np.random.default_rng(1).integers(-2 ** 62, 2 ** 62, 20000)).view(np.uint64)
+    h = token_store.PerfectHash.build(keys)
+    assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
+
+
+def test_store_round_trip_in_key_order(spark, docs):
+    got = queries.op4_token_store(spark, SMALL).toPandas().sort_values("doc_id")
+    lib = library(BYTE)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    want = [np.array(lib.encode(texts[i], add_special_tokens=False).ids + [2], "<u4") for i in sorted(texts)]
+    assert got.doc_id.tolist() == sorted(texts)
+    assert got.ids_crc32.tolist() == [zlib.crc32(x.tobytes()) for x in want]
+    assert got.start.tolist() == [0, *np.cumsum([len(x) for x in want])[:-1].tolist()]
+
+
+def test_store_hot_key_nulls_and_absent_keys(spark):
+    rows = [(7, f"copy {i % 3}") for i in range(300)] + [(None, "lost"), (None, None), (1, ""), (9, "x")]
+    path = scratch(spark, "store")
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path, queries._tokenizer(BYTE), shards=5)
+    asked = spark.createDataFrame([(7,), (7,), (None,), (1,), (2,), (10 ** 15,)], "doc_id long")
+    got = token_store.read_keys(spark, path, asked).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", *["7"] * 300, "None", "None"]
+    assert sorted(r.start for r in got)[0] == 0 and len({r.start for r in got}) == 303
+
+
+def test_word_hashes_of_long_and_null_texts():
+    h, cut = wordhash.word_hashes(pa.array(["The the, THE é-è", None, "", "a" * 3_000_000 + " b", " b c"]))
+    assert cut.tolist() == [0, 5, 5, 5, 7, 9] and h[0] == h[1] == h[2] and h[6] == h[7]
+
+
+def test_components_of_path_star_and_loop(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[i] for i in range(201)}) == 1 and len({got[i] for i in range(1000, 1300)}) == 1
+    assert len(set(got.values())) == 3
+
+
+def brute_components(f):
+    root = list(range(len(f)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(f)):
+        for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1:]) <= 3) + i + 1:
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(f))]
+
+
+@pytest.mark.parametrize("bucket", [3, 10 ** 6])
+def test_simhash_links_equal_brute_force(spark, bucket):
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 2 ** 64, 6, dtype=np.uint64)
+    f = [int(c) for c in centre]
+    for c in centre:                                   # dense groups of near fingerprints, and loose ones
+        for _ in range(40):
+            x = int(c)
+            for b in rng.choice(64, rng.integers(0, 5), replace=False):
+                x ^= 1 << int(b)
+            f.append(x)
+    f = np.unique(np.array(f, np.uint64))
+    fps = spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(f.view(np.int64))], "id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.classes(fps, "id", bucket).collect()}
+    assert [got[int(x)] for x in f.view(np.int64)] == brute_components(f)
+
+
+def test_simhash_documents(spark, docs):
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    f = np.array([simhash.fingerprint(r.text) for r in rows], np.uint64)
+    root = brute_components(f)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op6_simhash(spark, SMALL).collect()}
+    assert got == {r.doc_id: (f"{int(x):016x}", rows[k].doc_id) for r, x, k in zip(rows, f, root)}
+
+
+def test_simhash_keep_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, text, "a"), (2, text, "b"), (2, text, "b"), (None, text, "c"), (8, "quite another text", None), (9, None, None), (10, "", "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sorted((r.doc_id, r.fp) for r in simhash.keep_one(d).collect() if r.doc_id != 9)
+    assert got == [(2, "b"), (8, None)]
+
+
+def test_licences_equal_plain_scan(spark):
+    notice = "Released under\nthe MIT License."
+    texts = ["CC-BY, cc by CC.BY", "All rights reserved. " + notice, "This work is licensed under the GNU General Public License, version 3.",
+             "licensed under the gnu lesser general public license", "released under the fit license", "rights reserved all", "", None, "by", "é cc　by"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(d).collect()}
+    word, low = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, text in enumerate(texts):
+        w = word.findall((text or "").translate(low))
+        at = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(w)) if w[k:k + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r.first_word, r.last_word) == (min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert got[1].labels == "mit,reserved" and got[2].labels == "gpl,gpl-3.0" and got[3].labels == "gpl,lgpl" and got[4].labels == ""
+
+
+def test_leaks_exact_and_edited_but_not_clean(spark):
+    rnd = random.Random(2)
+    new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    items = [(i, " ".join(new(30))) for i in range(5)] + [(5, "just three words"), (6, None), (7, "")]
+    words = items[1][1].split()
+    edited = [w if i % 9 else "changed" for i, w in enumerate(words)]
+    half = words[:12]
+    texts = [" ".join(new(50) + words + new(50)), " ".join(new(20) + edited + new(9)).upper(), " ".join(new(40) + half + new(40)),
+             " ".join(new(200)), "", None, "so it is just three words, yes", " ".join(words)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, b, ["doc_id"], F.col("text")).collect())
+    assert got == [(0, 1), (1, 1), (6, 5), (7, 1)]
+    kept = decontaminate.clean(d.withColumn("item_id", F.lit(1)), b)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5] and kept.columns == ["doc_id", "text", "item_id"]
+
+
+def test_alignment_counts_matched_words():
+    a, b = np.arange(10, dtype=np.uint64), np.array([90, 0, 1, 2, 91, 4, 5, 6, 7, 92, 8, 9, 93], np.uint64)
+    assert decontaminate.align(a, b) == (9, 12)
+    assert decontaminate.align(a, b[:0]) == (0, 0)
+
+
+def test_passages_found_across_documents(spark):
+    rnd = random.Random(3)
+    new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    shared, other = new(70), new(90)
+    fuzzy = [w if i % 17 else "edit" for i, w in enumerate(other)]
+    copy = new(200)
+    texts = [new(80) + shared + new(30), new(10) + shared, other + new(300), new(100) + fuzzy, new(400), copy, copy, [], new(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(50, None), (None, " ".join(new(5) + shared))]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {frozenset((r.doc_id, r.other_id)): r for r in got}
+    assert {frozenset((2, 3)), frozenset((5, 6))} <= set(pairs)
+    linked = [p for p in pairs if p <= {0, 1, None}]
+    assert len(set().union(*linked)) == 3 and len(pairs) == len(linked) + 2
+    r = pairs[frozenset((5, 6))]
+    assert (r.begin, r.end, r.other_begin, r.other_end, r.identity) == (0, 200, 0, 200, 1.0)
+
+
+def test_chains_are_collinear_and_disjoint():
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    seen = set()
+    for c in passages.chains(a, b):
+        assert (np.diff(a[c]) > 0).all() and (np.diff(b[c]) > 0).all() and not seen & set(c.tolist())
+        seen |= set(c.tolist())
+
+
+def test_topk_equals_brute_force_with_ties_and_bad_vectors(spark):
+    rng = np.random.default_rng(8)
+    vecs = [rng.normal(size=8) * rng.choice([0.1, 1, 5]) for _ in range(400)]
+    vecs[7] = vecs[3] = vecs[200] = vecs[11]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    bad = [(1000, None), (1050, [float("nan")] * 8), (1100, [1.0, None] * 4), (1150, [float("inf")] * 8), (None, rows[0][1]), (1200, []), (1250, [1.0, 2.0])]
+    got = topk.top_products(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, 5).collect()
+    m = np.floor(256 * np.array(vecs)).astype(np.int64)
+    want = set()
+    for q in range(0, 400, 50):
+        s = m @ m[q]
+        best = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:5]
+        want |= {(q, k + 1, int(i), int(s[i])) for k, i in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_line_dedup_equals_plain_count(spark):
+    rows = [(i, f"https://u@Host{i % 2}.org:80/p{i}", "menu\n" + f"line {i}\n\nline {i % 7}\nmenu ") for i in range(40)]
+    rows += [(100, None, "menu"), (101, "no url", None), (102, "http://host0.org/x", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, text string")
+    got = {r.page_id: r for r in line_dedup.drop_boilerplate(d, line_dedup.host_of(F.col("url")), F.col("text"), host_out="host", dropped_out="n").collect()}
+    assert len(got) == 43 and got[101].text is None and got[102].text == "" and got[100].text == "menu"
+    assert got[5].host == "host1.org" and got[5].n == 2 and got[5].text == "line 5\n\nline 5"
+
+
+def test_registered_sql_matches(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    for name, sql in queries.ORACLE_SQL.items():
+        a = queries.QUERIES[name](spark, SMALL).toPandas()
+        b = con.execute(sql).df()[list(a.columns)]
+        key = list(a.columns[:2])
+        assert a.sort_values(key).values.tolist() == b.sort_values(key).values.tolist()
