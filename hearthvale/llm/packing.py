@@ -20,14 +20,14 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthvale.llm.common import ship, small, staged, text_of
-from hearthvale.llm.tokens import encoder, widen
+from hearthvale.llm.tokens import encoder, portions, widen
 
-STEP = 256          # texts encoded at a time
 OUT_BYTES = 8 << 20  # ids sent on at a time
 
 
@@ -41,14 +41,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, mode: str, end_id: int = 2
         width = enc.dtype.itemsize
         for b in batches:
             keys, texts = b.column(0), b.column(1)
-            for i in range(0, len(texts), STEP):
-                ids = enc.encode(texts.slice(i, STEP).to_pylist())
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+            for p in portions(texts):
+                ids = enc.encode(texts[p])
+                n = pc.binary_length(ids).to_numpy() // width
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(i, STEP), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), width, np.int32)),
-                     pa.array(n), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts)],
+                    [keys[p], ids.cast(pa.binary()), pa.array(np.full(len(ids), width, np.int32)), pa.array(n), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts)],
                     names=["doc_id", "ids", "width", "n", "part", "local_start"])
 
     ship(docs.sparkSession)

@@ -30,14 +30,15 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthvale.llm.common import ship, text_of
-from hearthvale.llm.packing import OUT_BYTES, STEP
-from hearthvale.llm.tokens import encoder, widen
+from hearthvale.llm.packing import OUT_BYTES
+from hearthvale.llm.tokens import encoder, portions, widen
 
 MAGIC = b"HVTOKEN1"
 GAMMA = 2.0      # bits per remaining key at each level of the hash
@@ -171,10 +172,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, mode: str = "byte",
             k = b.column(0)
             nulls += k.null_count
             keys.append(k.drop_null().to_numpy(zero_copy_only=False))
-            for i in range(0, len(b), STEP):
-                ids = enc.encode(b.column(1).slice(i, STEP).to_pylist())
-                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)) // enc.dtype.itemsize)
-                out.write(b"".join(ids))
+            for p in portions(b.column(1)):
+                ids = enc.encode(b.column(1)[p])
+                n = pc.binary_length(ids).to_numpy()
+                sizes.append(n // enc.dtype.itemsize)
+                first = int(np.frombuffer(ids.buffers()[1], np.int64, 1, 8 * ids.offset)[0])
+                out.write(memoryview(ids.buffers()[2])[first:first + int(n.sum())])
         if out is None:
             return
         out.close()

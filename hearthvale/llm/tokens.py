@@ -10,7 +10,8 @@ distinct chunk is encoded once per worker:
   a chunk starts at a single space between two characters that are no white
   space.
 
-Inside a chunk a letter followed by ASCII punctuation is a further cut. The ids
+Inside a chunk a letter followed by ASCII punctuation is a further cut, and so
+is a single line feed between characters that are no white space. The ids
 of a text are the ids of its chunks in order, equal to encoding it whole
 (tested against the library). A text in which a space stands next to other
 white space takes the slower exact cut of ``_SAFE``.
@@ -19,24 +20,32 @@ white space takes the slower exact cut of ``_SAFE``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 # Everything that some regex flavour may call white space, and controls.
 _WIDE = "\\s\\x00-\\x20\\x7f-\\xa0͏ ᠎ -‏ -  -⁤　﻿"
 _SAFE = re.compile(f"(?<=[^{_WIDE}])(?= [^{_WIDE}])")
 _INNER = re.compile(f"(?<=[{_LETTER}])(?=[!-/:-@\\[-`{{-~])")
+_LINE = re.compile(f"(?<=[^{_WIDE}])\n(?=[^{_WIDE}])")
 _ODD = re.compile(f"[{_WIDE}]")
+_ENDS = {chr(c) for c in range(33)}
+_GLUE, _CUT = "\ue000", "\ue001"    # private-use marks between chunks and pieces
 
-CACHE_WORDS = 300_000
+CACHE_CHUNKS, CACHE_PIECES = 300_000, 700_000
+PORTION = 12 << 20    # bytes of text encoded at a time
 
 
 class CachedEncoder:
     """``encode(texts)`` gives, per text, its ids and the end id as bytes.
 
     Ids are little-endian unsigned of ``dtype`` (two bytes when the vocabulary
-    fits). The caches are bounded by ``CACHE_WORDS`` entries each.
+    fits). The caches are bounded by ``CACHE_CHUNKS`` and
+    ``CACHE_PIECES`` entries and one call's words.
     """
 
     def __init__(self, path: str, mode: str, end_id: int = 2):
@@ -49,92 +58,126 @@ class CachedEncoder:
         self.dtype = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.word = mode == "word"
-        self.sep = " " if self.word else "\n"
-        self.chunks: dict = {}
+        self.sep, self.mark = (" | ", "|") if self.word else ("\n", "\n")
+        self.sep_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0]
+        self.chunks: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
 
     # -- distinct pieces ---------------------------------------------------
     def _encode_pieces(self, new: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        plain = []
-        for p in new:
-            if p and not _ODD.search(p, 1) and (p[0] == " " or not _ODD.match(p)) and p != " ":
-                plain.append(p)
-            else:
+        """Ids of distinct pieces, a few hundred per call of the library: the
+        separator between them is a token of its own that no piece holds."""
+        out: dict[str, bytes] = {"": b""}
+        new = [p for p in new if p]
+        joined = "".join(new)
+        if self.mark in joined or _ODD.search(joined.replace(" ", "")) or " " in new:
+            odd = [p for p in new if p == " " or self.mark in p or _ODD.search(p, 1) or (p[0] != " " and _ODD.match(p))]
+            for p in odd:
                 out[p] = np.array(self.tok.encode(p, add_special_tokens=False).ids, self.dtype).tobytes()
-        for i in range(0, len(plain), 128):
-            some = plain[i:i + 128]
-            enc = self.tok.encode(self.sep.join(some), add_special_tokens=False)
-            sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
-            ends = np.cumsum(sizes)
-            begins = ends - sizes
-            first = np.array([o[0] for o in enc.offsets], np.int64)
-            ids = np.array(enc.ids, self.dtype)
-            owner = np.searchsorted(begins, first, side="right") - 1
-            keep = first < ends[owner] - 1           # drops the separators' own tokens
-            ids, owner = ids[keep], owner[keep]
-            cut = np.searchsorted(owner, np.arange(len(some) + 1))
-            for k, p in enumerate(some):
-                out[p] = ids[cut[k]:cut[k + 1]].tobytes()
+            new = [p for p in new if p not in out]
+        width = self.dtype.itemsize
+        for i in range(0, len(new), 256):
+            some = new[i:i + 256]
+            ids = np.array(self.tok.encode_batch_fast([self.sep.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = (np.flatnonzero(ids == self.sep_id) * width).tolist()
+            if len(cut) != len(some) - 1:
+                raise ValueError("the separator is no single token of this vocabulary")
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[x:y] for x, y in zip([0, *(c + width for c in cut)], [*cut, len(raw)])]))
         return out
 
-    def _learn(self, parts: dict) -> dict:
-        """Ids of chunks: {chunk: [piece, ...]} -> {chunk: bytes}."""
-        want = {p for ps in parts.values() for p in ps}
-        new = [p for p in want if p not in self.pieces]
+    def _learn(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of chunks given by their pieces."""
+        pieces = self.pieces
+        new = {p for ps in parts for p in ps if p not in pieces}
         if new:
-            if len(self.pieces) + len(new) > CACHE_WORDS:
-                self.pieces = {p: self.pieces[p] for p in want if p in self.pieces}
-            self.pieces.update(self._encode_pieces(new))
-        get = self.pieces.__getitem__
-        return {c: b"".join(map(get, ps)) for c, ps in parts.items()}
-
-    # -- texts -------------------------------------------------------------
-    def _split(self, text: str) -> list:
-        """Keys of a text's chunks; in byte mode a later chunk's key lacks its
-        leading space and the first chunk's key is a tuple."""
+            if len(pieces) > CACHE_PIECES:
+                want = {p for ps in parts for p in ps}
+                pieces = self.pieces = {p: pieces[p] for p in want if p in pieces}
+            pieces.update(self._encode_pieces(list(new)))
+        get = pieces.__getitem__
+        return [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in parts]
+
+    # -- chunks ------------------------------------------------------------
+    def _cut(self, chunks: list[str]) -> list[list[str]]:
+        """Pieces of each chunk, all chunks by one substitution."""
+        joined = _GLUE.join(chunks)
+        if joined.count(_GLUE) == len(chunks) - 1 and _CUT not in joined:
+            cut = _INNER.sub(_CUT, joined)
+            if "\n" in cut:
+                cut = _LINE.sub(f"{_CUT}\n{_CUT}", cut)
+            return [c.split(_CUT) for c in cut.split(_GLUE)]
+        return [_INNER.split(c) for c in chunks]
+
+    def _chunk_ids(self, chunks: list[str]) -> dict[str, bytes | None]:
+        """Ids of unknown chunks; in byte mode a chunk comes without its leading
+        space, and is None if white space stands at an end of it."""
         if self.word:
-            return text.encode("utf-8", "surrogatepass").lower().split()
-        keys: list = text.split(" ")
-        keys[0] = (keys[0],)
-        return keys
+            return dict(zip(chunks, self._learn(self._cut(chunks))))
+        good = [c for c in chunks if c and not ((c[-1] in _ENDS or c[-1] > "~") and _ODD.match(c[-1])
+                                                or (c[0] in _ENDS or c[0] > "~") and _ODD.match(c[0]))]
+        out: dict[str, bytes | None] = dict.fromkeys(chunks)
+        out.update(zip(good, self._learn(self._cut([" " + c for c in good]))))
+        return out
 
-    def _pieces_of(self, key) -> list[str] | None:
+    # -- texts -------------------------------------------------------------
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """One binary value per text. Only the distinct chunks are Python
+        objects; splitting and joining are Arrow's."""
         if self.word:
-            return _INNER.split(key.decode("utf-8", "surrogatepass"))
-        text = key[0] if isinstance(key, tuple) else key
-        if isinstance(key, tuple):
-            if text == "":
-                return None
-            return None if _ODD.match(text[-1]) else _INNER.split(text)
-        if text == "" or _ODD.match(text[0]) or _ODD.match(text[-1]):
-            return None
-        return _INNER.split(" " + text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        if len(self.chunks) > CACHE_WORDS:
+            parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        else:
+            parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        coded = parts.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.chunks) > CACHE_CHUNKS:
             self.chunks = {}
         known = self.chunks
-        new = set().union(*split).difference(known)
-        parts = {k: self._pieces_of(k) for k in new}
-        known.update(self._learn({k: p for k, p in parts.items() if p is not None}))
-        known.update((k, None) for k, p in parts.items() if p is None)
-        get, out = known.__getitem__, []
-        for text, keys in zip(texts, split):
-            ids = list(map(get, keys))
-            if None in ids:                     # a space beside other white space, or an empty text
-                ids = self._exact(text)
-            ids.append(self.end)
-            out.append(b"".join(ids))
+        new = [c for c in chunks if c not in known]
+        if new:
+            known.update(self._chunk_ids(new))
+        ids = list(map(known.__getitem__, chunks))
+        whole = np.empty(0, np.int64)                      # texts to encode by the exact cut
+        if not self.word:
+            begins = offsets[:-1]
+            lone = np.fromiter((i is None for i in ids), bool, len(ids))
+            bad = lone[at]
+            first = parts.flatten().take(pa.array(begins)).to_pylist()
+            odd = np.fromiter((not c or _ODD.match(c[-1]) is not None for c in first), bool, len(first))
+            bad[begins] = odd
+            whole = np.unique(np.searchsorted(offsets, np.flatnonzero(bad), side="right") - 1)
+            at = at.astype(np.int64)
+            at[begins] = len(ids) + np.arange(len(first))
+            ids += self._learn(self._cut(first))
+            ids = [i or b"" for i in ids]
+        at = np.insert(at, offsets[1:], len(ids))           # the end id after each text
+        ids.append(self.end)
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)
+        cut = ends[offsets + np.arange(len(offsets))]
+        out = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(cut)), joined.buffers()[2]])
+        if len(whole):
+            values = out.to_pylist()
+            for i in whole.tolist():
+                values[i] = b"".join(self._exact(texts[i].as_py())) + self.end
+            out = pa.array(values, pa.large_binary())
         return out
 
     def _exact(self, text: str) -> list[bytes]:
-        if not text:
-            return []
-        cut = _SAFE.split(text)
-        ids = self._learn({c: _INNER.split(c) for c in cut})
-        return [ids[c] for c in cut]
+        return self._learn([_INNER.split(c) for c in _SAFE.split(text)]) if text else []
+
+
+def portions(texts: pa.Array, size: int = PORTION) -> Iterator[slice]:
+    """Slices of about ``size`` bytes of text (a longer text stands alone)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        base = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield slice(begin, end)
+        begin = end
 
 
 def widen(ids: bytes, dtype: np.dtype) -> bytes:
