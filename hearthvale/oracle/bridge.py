@@ -99,10 +99,11 @@ SELECT c_custkey AS id_barn, CAST(CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE 5
        CAST(c_custkey % 7 AS BIGINT) AS occupied_spots FROM customer""",
     "relationship": """
 SELECT d.c1 AS id_character1, d.c2 AS id_character2, d.w AS affection_level
-FROM (SELECT least(o.o_custkey, l.l_suppkey) AS c1, greatest(o.o_custkey, l.l_suppkey) AS c2,
+FROM (SELECT least(head, l.l_suppkey) AS c1, greatest(head, l.l_suppkey) AS c2,
              max(CAST(l.l_quantity AS BIGINT)) AS w
-      FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
-      WHERE l.l_quantity >= 45 AND l.l_discount >= 0.09 AND o.o_custkey <> l.l_suppkey
+      FROM lineitem l JOIN (SELECT o_orderkey, o_custkey + o_custkey % 2 AS head FROM orders) o
+        ON o.o_orderkey = l.l_orderkey
+      WHERE head <> l.l_suppkey
       GROUP BY 1, 2) d
 WHERE d.c1 IN (SELECT c_custkey FROM customer) AND d.c2 IN (SELECT c_custkey FROM customer)""",
     "letter": """
@@ -136,9 +137,11 @@ SELECT l.l_partkey AS id_donatable, l.l_suppkey % 10 AS id_museum, o.o_custkey A
 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
 GROUP BY l.l_partkey, l.l_suppkey % 10, o.o_custkey""",
     "event": """
-SELECT o_orderkey AS id_event, o_orderpriority AS description, o_custkey AS id_place
-FROM orders WHERE o_orderstatus = 'F'""",
-    "place_e6": "SELECT c_custkey AS id_place, c_name AS location_name FROM customer",
+SELECT o_orderkey AS id_event, o_orderpriority AS description, o_custkey * 8 + o_orderkey % 8 AS id_place
+FROM orders""",
+    "place_e6": """
+SELECT c_custkey * 8 + spot AS id_place, c_name || '/' || CAST(spot AS VARCHAR) AS location_name
+FROM customer, range(8) AS spots(spot)""",
 }
 
 _WORD = re.compile(r"\b([a-z_][a-z0-9_]*)\b")

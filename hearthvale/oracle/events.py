@@ -1,87 +1,71 @@
-"""Oracle SQL (DuckDB) for E1–E6, in the reference's own form."""
+"""Oracle SQL (DuckDB) for E1-E6, written from what each query returns."""
 
+# Entries counted per id and role, names joined to the counts. Equal people
+# in both roles (same id and name) are added up.
 E1 = """
-SELECT id_person, first_name, last_name, event_count
-FROM (
-  SELECT id_person, first_name, last_name, count(*) AS event_count
-  FROM (
-    SELECT r.id_inhabitant AS id_person, c.name AS first_name, CAST(NULL AS VARCHAR) AS last_name
-    FROM residentevent re
-    JOIN inhabitant r ON r.id_inhabitant = re.id_resident
-    JOIN character c ON c.id_character = r.id_inhabitant
-    UNION ALL
-    SELECT p.id_player AS id_person, c.name AS first_name, CAST(NULL AS VARCHAR) AS last_name
-    FROM residentevent re
-    JOIN player p ON p.id_player = re.id_player
-    JOIN character c ON c.id_character = p.id_player)
-  GROUP BY id_person, first_name, last_name) stats
-WHERE event_count > (
-  SELECT avg(evt_count) FROM (
-    SELECT count(*) AS evt_count FROM residentevent GROUP BY id_resident
-    UNION ALL
-    SELECT count(*) FROM residentevent GROUP BY id_player))
+WITH entry AS (
+  SELECT 'r' AS role, id_resident AS id, count(*) AS n FROM residentevent GROUP BY ALL
+  UNION ALL SELECT 'p', id_player, count(*) FROM residentevent GROUP BY ALL),
+known AS (
+  SELECT id, n FROM entry WHERE role = 'r' AND id IN (SELECT id_inhabitant FROM inhabitant)
+  UNION ALL SELECT id, n FROM entry WHERE role = 'p' AND id IN (SELECT id_player FROM player)),
+person AS (SELECT id, CAST(sum(n) AS BIGINT) AS event_count FROM known GROUP BY id)
+SELECT id AS id_person, name AS first_name, CAST(NULL AS VARCHAR) AS last_name, event_count
+FROM person JOIN character ON id_character = id
+WHERE event_count > (SELECT avg(n) FROM entry)
 """
 
+# The festival's id stands for the person, as the query defines it.
 E2 = """
-SELECT id, description, id_person, name, max_spent
-FROM (
-  SELECT e.id AS id, e.description, fs.id_person, fs.name, CAST(fs.total_spent AS DECIMAL(18,2)) AS max_spent,
-         rank() OVER (PARTITION BY e.id ORDER BY fs.total_spent DESC NULLS FIRST) AS rk
-  FROM events_stg e
-  JOIN (SELECT id AS id_person, sum(gold_expended) AS total_spent, 'Resident' AS type, name AS name
-        FROM festivity_persons JOIN character c ON c.id_character = festivity_persons.id_person
-        GROUP BY id, name) fs ON fs.id_person = e.id) ranked
-WHERE rk = 1
-ORDER BY id
+WITH spent AS (
+  SELECT f.id, name, sum(gold_expended) AS total
+  FROM festivity_persons f JOIN character ON id_character = id_person GROUP BY f.id, name),
+most AS (SELECT id, name, total FROM spent QUALIFY total IS NOT DISTINCT FROM first_value(total) OVER (
+           PARTITION BY id ORDER BY total DESC NULLS FIRST))
+SELECT id, description, id AS id_person, name, CAST(total AS DECIMAL(18,2)) AS max_spent
+FROM most JOIN events_stg USING (id)
 """
 
+# Both sides of the gap per museum, then the gap.
 E3 = """
-SELECT id_museum,
-       CAST(100 - percentage_remaining AS DECIMAL(18,2)) AS stored_completion,
-       CAST(round(CAST(100 * count(DISTINCT donable_item) / (SELECT count(*) FROM donatable) AS DECIMAL(38,10)), 2)
-            AS DECIMAL(18,2)) AS expected_completion,
-       CAST(round(CAST((100 * count(DISTINCT donable_item) / (SELECT count(*) FROM donatable))
-                       - (100 - percentage_remaining) AS DECIMAL(38,10)), 2) AS DECIMAL(18,2)) AS missing_percentage
-FROM museum_registry
-GROUP BY id_museum, percentage_remaining
-HAVING round(CAST(100 * count(DISTINCT donable_item) / (SELECT count(*) FROM donatable) AS DECIMAL(38,10)), 2)
-       > (100 - percentage_remaining)
+WITH goal AS (SELECT count(*) AS n FROM donatable),
+held AS (
+  SELECT id_museum, 100 - percentage_remaining AS stored, CAST(100 * count(DISTINCT donable_item) / any_value(n) AS DECIMAL(38,10)) AS reached
+  FROM museum_registry, goal GROUP BY id_museum, percentage_remaining)
+SELECT id_museum, CAST(stored AS DECIMAL(18,2)) AS stored_completion,
+       CAST(round(reached, 2) AS DECIMAL(18,2)) AS expected_completion,
+       CAST(round(reached - stored, 2) AS DECIMAL(18,2)) AS missing_percentage
+FROM held WHERE round(reached, 2) > stored
 """
 
+# Kinds by membership, counted with filters.
 E4 = """
-SELECT d.id_player, c.name,
-       CAST(round(CAST(100.0 * sum(CASE WHEN b.id_book IS NOT NULL THEN 1 ELSE 0 END) / count(*) AS DECIMAL(38,10)), 2)
-            AS DECIMAL(18,2)) AS book_percentage,
-       CAST(round(CAST(100.0 * sum(CASE WHEN m.id_mineral IS NOT NULL THEN 1 ELSE 0 END) / count(*) AS DECIMAL(38,10)), 2)
-            AS DECIMAL(18,2)) AS mineral_percentage,
-       count(*) AS total_donations
-FROM donation d
-JOIN character c ON c.id_character = d.id_player
-LEFT JOIN book b ON b.id_book = d.id_donatable
-LEFT JOIN mineral m ON m.id_mineral = d.id_donatable
-GROUP BY d.id_player, c.name
-HAVING count(*) > 50
+WITH kinds AS (
+  SELECT id_player, id_donatable IN (SELECT id_book FROM book) AS is_book,
+         id_donatable IN (SELECT id_mineral FROM mineral) AS is_mineral FROM donation),
+mix AS (
+  SELECT id_player, count(*) AS n, count(*) FILTER (is_book) AS books, count(*) FILTER (is_mineral) AS minerals
+  FROM kinds GROUP BY id_player)
+SELECT id_player, name, CAST(round(CAST(100.0 * books / n AS DECIMAL(38,10)), 2) AS DECIMAL(18,2)) AS book_percentage,
+       CAST(round(CAST(100.0 * minerals / n AS DECIMAL(38,10)), 2) AS DECIMAL(18,2)) AS mineral_percentage,
+       n AS total_donations
+FROM mix JOIN character ON id_character = id_player WHERE n > 50
 """
 
+# The best offer of a shop as one struct: a missing price tops, then the
+# larger saving, the smaller item, the larger discount.
 E5 = """
-SELECT id_shop, specialization, id_item, item_name, price_to_buy AS original_price, discount AS discount_pct,
-       saving AS item_discount
-FROM (
-  SELECT s.id_shop, s.specialization, it.id_item, it.name AS item_name, it.price_to_buy, se.discount,
-         CAST(it.price_to_buy * se.discount * 0.01 AS DECIMAL(18,6)) AS saving,
-         row_number() OVER (PARTITION BY s.id_shop
-                            ORDER BY it.price_to_buy * se.discount DESC NULLS FIRST, it.id_item, se.discount DESC) AS rn
-  FROM shop s
-  JOIN sell se ON se.id_shop = s.id_shop
-  JOIN s_stored ss ON ss.id_shop = s.id_shop
-  JOIN item it ON it.id_item = ss.id_item)
-WHERE rn = 1
-ORDER BY item_discount DESC NULLS FIRST
+WITH offers AS (
+  SELECT id_shop, id_item, name, price_to_buy, discount,
+         row(price_to_buy * discount IS NULL, coalesce(price_to_buy * discount, 0), -id_item, discount IS NULL, discount) AS worth
+  FROM sell JOIN s_stored USING (id_shop) JOIN item USING (id_item))
+SELECT id_shop, specialization, o.id_item, o.name AS item_name, o.price_to_buy AS original_price,
+       o.discount AS discount_pct, CAST(o.price_to_buy * o.discount * 0.01 AS DECIMAL(18,6)) AS item_discount
+FROM (SELECT id_shop, arg_max(offers, worth) AS o FROM offers GROUP BY id_shop) JOIN shop USING (id_shop)
 """
 
+# Places whose first and last event are the same one.
 E6 = """
-SELECT e.id_event, e.description, p.location_name
-FROM event e JOIN place_e6 p ON p.id_place = e.id_place
-WHERE e.id_place IN (SELECT id_place FROM event GROUP BY id_place HAVING count(DISTINCT id_event) = 1)
-ORDER BY e.id_event
+WITH span AS (SELECT *, min(id_event) OVER w AS first, max(id_event) OVER w AS last FROM event WINDOW w AS (PARTITION BY id_place))
+SELECT id_event, description, location_name FROM span JOIN place_e6 USING (id_place) WHERE first = last
 """

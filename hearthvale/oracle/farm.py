@@ -1,89 +1,70 @@
-"""Oracle SQL (DuckDB) for F1–F6, in the reference's own form."""
+"""Oracle SQL (DuckDB) for F1-F6, written from what each query returns."""
 
+# Seconds per finished mission, their mean per player beside the mean of all.
 F1 = """
-SELECT p.id_player, p.nickname AS name,
-       avg(date_diff('second', pm.start_date, pm.end_date)) AS avg_timespan
-FROM player_mission pm JOIN player p ON p.id_player = pm.id_player
-WHERE pm.is_completed = 1 AND pm.end_date > pm.start_date
-GROUP BY p.id_player, p.nickname
-HAVING avg(date_diff('second', pm.start_date, pm.end_date)) <
-       (SELECT avg(date_diff('second', start_date, end_date)) FROM player_mission
-        WHERE is_completed = 1 AND end_date > start_date)
-ORDER BY avg_timespan ASC, p.id_player
-LIMIT 10
+WITH span AS (
+  SELECT id_player, epoch(end_date) - epoch(start_date) AS seconds FROM player_mission
+  WHERE is_completed = 1 AND start_date < end_date),
+mean AS (SELECT id_player, avg(seconds) AS own, (SELECT avg(seconds) FROM span) AS everyone FROM span GROUP BY id_player)
+SELECT id_player, nickname AS name, own AS avg_timespan
+FROM mean JOIN player USING (id_player) WHERE own < everyone
+QUALIFY row_number() OVER (ORDER BY own, id_player) <= 10
 """
 
+# Golden crops per field, then per farm; rank 1 keeps ties.
 F2 = """
-SELECT f.id_farm, f.specialization, count(*) AS num_crops
-FROM farm f
-JOIN farmbuilding fb ON fb.id_farm = f.id_farm
-JOIN cultivationfield cf ON cf.id_field = fb.id_farm_building
-JOIN grow g ON g.id_field = cf.id_field
-JOIN crop c ON c.id_crop = g.id_crop
-WHERE c.quality = 'Gold'
-GROUP BY f.id_farm, f.specialization
-HAVING count(*) = (
-  SELECT max(gold_count) FROM (
-    SELECT f2.id_farm, count(*) AS gold_count
-    FROM farm f2
-    JOIN farmbuilding fb2 ON fb2.id_farm = f2.id_farm
-    JOIN cultivationfield cf2 ON cf2.id_field = fb2.id_farm_building
-    JOIN grow g2 ON g2.id_field = cf2.id_field
-    JOIN crop c2 ON c2.id_crop = g2.id_crop
-    WHERE c2.quality = 'Gold'
-    GROUP BY f2.id_farm))
-ORDER BY f.id_farm
+WITH per_field AS (
+  SELECT id_field, count(*) AS n FROM grow SEMI JOIN (SELECT id_crop FROM crop WHERE quality = 'Gold') USING (id_crop)
+  GROUP BY id_field),
+per_farm AS (
+  SELECT id_farm, CAST(sum(n) AS BIGINT) AS num_crops
+  FROM per_field SEMI JOIN cultivationfield USING (id_field)
+  JOIN farmbuilding ON id_farm_building = id_field GROUP BY id_farm)
+SELECT id_farm, specialization, num_crops FROM farm JOIN per_farm USING (id_farm)
+QUALIFY rank() OVER (ORDER BY num_crops DESC) = 1
 """
 
+# Products per animal, against the mean of its barn's animals, healthy or not.
 F3 = """
-SELECT a.id_barn, a.id_animal, a.name_animal AS animal_name, a.age, a.health AS health_status,
-       count(p.id_product) AS num_products
-FROM animal a JOIN produce p ON a.id_animal = p.id_animal
-WHERE a.health = 'Healthy'
-GROUP BY a.id_barn, a.id_animal, a.name_animal, a.age, a.health
-HAVING count(p.id_product) > (
-  SELECT avg(prod_count) FROM (
-    SELECT count(p2.id_product) AS prod_count
-    FROM animal a2 JOIN produce p2 ON a2.id_animal = p2.id_animal
-    WHERE a2.id_barn = a.id_barn
-    GROUP BY a2.id_animal))
-ORDER BY a.id_barn, a.id_animal
+WITH made AS (SELECT id_animal, count(id_product) AS n FROM produce GROUP BY id_animal),
+barns AS (
+  SELECT animal.*, n, avg(n) OVER (PARTITION BY id_barn) AS usual FROM animal JOIN made USING (id_animal)
+  WHERE id_barn IS NOT NULL)
+SELECT id_barn, id_animal, name_animal AS animal_name, age, health AS health_status, n AS num_products
+FROM barns WHERE health = 'Healthy' AND n > usual
 """
 
+# Buildings are added up before they meet their farm.
 F4 = """
-SELECT f.id_farm, f.hectares,
-       CAST(sum(fb.building_size) AS DECIMAL(18,2)) AS occupied_space,
-       CAST(f.hectares - sum(fb.building_size) AS DECIMAL(18,2)) AS space_left,
-       count(*) AS num_buildings,
-       CAST(floor((f.hectares - sum(fb.building_size)) / nullif(min(fb.building_size), 0)) AS BIGINT)
-         AS num_new_buildings
-FROM farm f JOIN farmbuilding fb ON f.id_farm = fb.id_farm
-GROUP BY f.id_farm, f.hectares
-HAVING f.hectares < 600000 AND (f.hectares - sum(fb.building_size)) > 0
-ORDER BY f.id_farm
+WITH built AS (
+  SELECT id_farm, sum(building_size) AS taken, min(building_size) AS least, count(*) AS n
+  FROM farmbuilding GROUP BY id_farm),
+room AS (SELECT *, hectares - taken AS free FROM farm JOIN built USING (id_farm) WHERE hectares < 600000)
+SELECT id_farm, hectares, CAST(taken AS DECIMAL(18,2)) AS occupied_space, CAST(free AS DECIMAL(18,2)) AS space_left,
+       n AS num_buildings,
+       CASE WHEN least <> 0 THEN CAST(floor(free / least) AS BIGINT) END AS num_new_buildings
+FROM room WHERE free > 0
 """
 
+# A barn is mixed when its smallest and largest species differ. A finished
+# mission without a player rules out everybody (NOT IN).
 F5 = """
-SELECT p.id_player, p.nickname AS name, b.id_barn AS id_barn_building,
-       count(DISTINCT a.id_animal_specie) AS species_count
-FROM player p
-JOIN farm_p f ON f.id_player = p.id_player
-JOIN farmbuilding_p fb ON fb.id_farm = f.id_farm
-JOIN barn b ON b.id_barn = fb.id_farm_building
-JOIN animal a ON a.id_barn = b.id_barn
-WHERE p.id_player NOT IN (SELECT DISTINCT id_player FROM player_mission WHERE is_completed = 1)
-GROUP BY p.id_player, p.nickname, b.id_barn
-HAVING count(DISTINCT a.id_animal_specie) > 1
-ORDER BY b.id_barn
+WITH mixed AS (
+  SELECT id_barn, count(DISTINCT id_animal_specie) AS species_count FROM animal
+  GROUP BY id_barn HAVING min(id_animal_specie) < max(id_animal_specie)),
+busy AS (SELECT id_player FROM player_mission WHERE is_completed = 1),
+idle AS (
+  SELECT id_player, nickname FROM player ANTI JOIN busy USING (id_player)
+  WHERE (SELECT count(*) = count(id_player) FROM busy) AND (id_player IS NOT NULL OR (SELECT count(*) = 0 FROM busy)))
+SELECT id_player, nickname AS name, id_barn AS id_barn_building, species_count
+FROM idle JOIN farm_p USING (id_player) JOIN farmbuilding_p USING (id_farm)
+JOIN mixed ON id_barn = id_farm_building SEMI JOIN barn USING (id_barn)
 """
 
+# The value at place ceil(0.97 n) is read off a sorted list.
 F6 = """
+WITH sorted AS (SELECT list(experience ORDER BY experience ASC NULLS LAST) AS xs, avg(gold) AS mean FROM player)
 SELECT id_player, nickname AS name, gold, experience
-FROM player
-WHERE experience > (
-    SELECT experience FROM (
-        SELECT experience, row_number() OVER (ORDER BY experience ASC NULLS LAST) AS rn FROM player)
-    WHERE rn = ceil((SELECT count(*) FROM player) * 0.97))
-  AND gold > (SELECT avg(gold) FROM player)
-ORDER BY gold DESC
+FROM player, sorted
+WHERE gold > mean AND experience > xs[CAST(ceil(len(xs) * 0.97) AS BIGINT)]
 """
