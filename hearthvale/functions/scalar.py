@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 
 
-def money(c) -> Column:
-    """Fixed-point money column (Oracle NUMBER with two decimals)."""
-    return F.col(c).cast(MONEY) if isinstance(c, str) else c.cast(MONEY)
-
-
 def round2(c: Column, out: str = MONEY) -> Column:
     """Exact ROUND(x, 2), half away from zero, on a fixed-point value.
 
@@ -41,21 +36,6 @@ def trunc_day(c: Column) -> Column:
     return F.to_date(c)
 
 
-def nvl_concat(*cols: Column) -> Column:
-    """Oracle ``a || b``: NULL operands behave as ''."""
-    return F.concat_ws("", *cols)
-
-
-def asc_nl(c) -> Column:
-    """Oracle ascending order: nulls last."""
-    return (F.col(c) if isinstance(c, str) else c).asc_nulls_last()
-
-
-def desc_nf(c) -> Column:
-    """Oracle descending order: nulls first."""
-    return (F.col(c) if isinstance(c, str) else c).desc_nulls_first()
-
-
 def seconds_between(start: Column, end: Column) -> Column:
     """DATE - DATE as whole seconds (the interval emitted as a number)."""
     return F.timestamp_diff("SECOND", start, end)

@@ -1,11 +1,10 @@
-"""A16 — the value at a rank position (``ROWNUM = CEIL(N * p)`` over an
+"""The value at a rank position (``ROWNUM = CEIL(N * p)`` over an
 ascending sort, NULLs last, N counting NULL rows) without a global sort.
 
-Plan: value counts (``groupBy(v).count()``: partial aggregation, output one
-row per distinct value), then a running sum over the distinct values. Only
-the histogram — bounded by the number of distinct values, not by rows — is
-ordered; the rows themselves are never sorted or moved to one task. The
-result is a one-row DataFrame usable as a scalar subquery.
+Value counts first (partial aggregation; the rows are never sorted). The
+histogram can be as long as the table where values are near-unique, so it is
+range-partitioned; the totals of its partitions (one row each) say which one
+holds the position, and a running sum is taken over that partition alone.
 """
 
 from __future__ import annotations
@@ -13,20 +12,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthvale.session import checkpoint_dir
 
-def value_at_rank(df: DataFrame, col: str, num: int, den: int) -> DataFrame:
+
+def value_at_rank(df: DataFrame, col: str, num: int, den: int, num_partitions: int | None = None) -> DataFrame:
     """One row ``cut``: the value at position ``ceil(N * num / den)``.
 
-    ``num/den`` is the fraction as an exact ratio (0.97 -> 97/100), so the
-    position is computed in integers: ``(num*N + den - 1) // den``. The cut
+    ``num/den`` is the fraction as an exact ratio (0.97 -> 97/100), and the
+    position is computed in integers: ``(num*N + den - 1) div den``. The cut
     is NULL when the position lies among the NULLs or N = 0.
     """
-    # value counts including the NULL group: N is their total, so the rows
-    # are aggregated once and everything after works on the histogram
-    hist = df.groupBy(col).agg(F.count(F.lit(1)).alias("c"))
-    whole = Window.partitionBy(F.lit(0))
-    ordered = whole.orderBy(F.col(col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.select(col, F.sum("c").over(ordered).alias("cum"),
-                      ((F.sum("c").over(whole) * num + (den - 1)) / den).cast("bigint").alias("pos"))
-    return (cum.filter(F.col(col).isNotNull() & (F.col("pos") >= 1) & (F.col("cum") >= F.col("pos")))
-               .agg(F.min(col).alias("cut")))
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hist = (df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+            .repartitionByRange(n, F.col("v").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+            .checkpoint(eager=True))           # fixes every value's partition
+    totals = hist.groupBy("part").agg(F.sum("c").alias("c"))
+    along = Window.orderBy("part")             # one row per partition
+    bounds = totals.select("part", (F.sum("c").over(along) - F.col("c")).alias("low"), F.sum("c").over(along).alias("high"))
+    size = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"))
+    place = size.select(F.expr(f"(rows * {num} + {den - 1}) div {den}").alias("at")).scalar()
+    holder = bounds.filter((F.col("low") < place) & (place <= F.col("high")))       # one row
+    inside = hist.join(F.broadcast(holder), "part")
+    run = F.sum("c").over(Window.partitionBy("part").orderBy(F.col("v").asc_nulls_last())
+                          .rowsBetween(Window.unboundedPreceding, 0))
+    upto = inside.select("v", (F.col("low") + run).alias("upto"), "low", "c")
+    hit = upto.filter((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place))
+    return hit.agg(F.min("v").alias("cut"))

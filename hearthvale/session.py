@@ -63,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     else:
         d = spark.sparkContext.getCheckpointDir()
         if not d:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             d = tempfile.mkdtemp(prefix="hearthvale-ckpt-")
             spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

@@ -13,13 +13,13 @@ trigger) and publishes new snapshot versions per micro-batch, exactly once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import partial
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthvale.streaming.runner import Changes, SnapshotStore, make_batch_fn
 from hearthvale.streaming.triggers import (
@@ -30,68 +30,83 @@ from hearthvale.streaming.triggers import (
     apply_purchase_stock,
 )
 
+Restrict = Callable[[DataFrame, DataFrame], DataFrame]
+
 
 @dataclass(frozen=True)
 class Job:
+    """``restrict``: per snapshot, the rows a batch needs (by key columns)."""
+
     name: str
     tables: tuple[str, ...]
     schema: T.StructType
     apply: Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame | Changes]]
     keys: dict[str, list[str]]
+    restrict: dict[str, Restrict] = field(default_factory=dict)
+
+
+def _by(*cols: str, where: str = "true") -> Restrict:
+    """Snapshot rows whose key columns occur in the batch's rows that count."""
+    return lambda rows, batch: rows.join(batch.filter(where).select(*cols).distinct(), list(cols), "left_semi")
+
+
+def _reward_rows(rows: DataFrame, batch: DataFrame) -> DataFrame:
+    return _by("id_player")(rows.filter(F.col("id_item") == REWARD_ITEM), batch)
 
 
-# Each batch writes only the rows whose key it touched (``Changes``): the
-# fold's new snapshot restricted, by a semi join, to the batch's keys.
+def _either_end(rows: DataFrame, batch: DataFrame) -> DataFrame:
+    ids = batch.select("id_inhabitant").distinct()
+    one = ids.select(F.col("id_inhabitant").alias("id_character1"), F.lit(True).alias("__one"))
+    two = ids.select(F.col("id_inhabitant").alias("id_character2"), F.lit(True).alias("__two"))
+    hit = rows.join(one, "id_character1", "left").join(two, "id_character2", "left")
+    return hit.filter("__one OR __two").select(*rows.columns)
 
-def _touched(new: DataFrame, keys: DataFrame) -> Changes:
-    return Changes(new.join(keys.distinct(), list(keys.columns), "left_semi"))
 
+# A batch sees the snapshot rows of its own keys only, so what a fold returns
+# is what the batch changed.
 
 def _purchase(batch, s):
     s1, p1 = apply_purchase_stock(batch, s["S_STORED"], s["P_STORED"])
-    buys = batch.filter(F.col("action") == "BUY")
-    return {"S_STORED": _touched(s1, buys.select("id_shop", "id_item")),
-            "P_STORED": _touched(p1, buys.select("id_player", "id_item"))}
+    return {"S_STORED": Changes(s1), "P_STORED": Changes(p1)}
 
 
-def _barn(batch, s):
-    decisions, barn = apply_barn_admission(batch, s["BARN"])
-    admitted = decisions.filter("admitted").select("id_animal")
-    new_animals = batch.join(admitted, "id_animal", "left_semi").select(*s["ANIMAL"].columns)
-    return {"BARN": _touched(barn, batch.select("id_barn")), "ANIMAL": Changes(new_animals)}
+def _barn(batch, s, mode="per_row"):
+    decisions, barn = apply_barn_admission(batch, s["BARN"], mode)
+    admitted = decisions.filter("admitted").select(*s["ANIMAL"].columns)
+    rejected = decisions.filter("NOT admitted").drop("admitted").withColumn("rule", F.lit("barn_full_or_unknown"))
+    return {"BARN": Changes(barn), "ANIMAL": Changes(admitted), "ANIMAL_REJECTED": Changes(rejected)}
 
 
 def _affection(batch, s):
-    new = apply_affection_boost(batch, s["RELATIONSHIP"])
-    fired = (batch.filter(F.col("old_personality") != F.col("new_personality"))
-             .select(F.col("id_inhabitant").alias("id")).distinct())
-    touched = (new.join(fired.withColumnRenamed("id", "id_character1"), "id_character1", "left_semi")
-               .unionByName(new.join(fired.withColumnRenamed("id", "id_character2"), "id_character2", "left_semi"))
-               .distinct())
-    return {"RELATIONSHIP": Changes(touched)}
+    return {"RELATIONSHIP": Changes(apply_affection_boost(batch, s["RELATIONSHIP"]))}
 
 
 def _reward(batch, s):
-    new = apply_donation_reward(batch, s["P_STORED"])
-    donors = (batch.filter(F.upper("condition_object") == "NEW")
-              .select("id_player", F.lit(REWARD_ITEM).cast("bigint").alias("id_item")))
-    return {"P_STORED": _touched(new, donors)}
+    return {"P_STORED": Changes(apply_donation_reward(batch, s["P_STORED"]))}
 
 
 PURCHASE_STOCK = Job("purchase_stock", ("S_STORED", "P_STORED"), T.StructType.fromDDL(
     "id_shop bigint, id_player bigint, id_item bigint, action_time timestamp_ntz, action string, "
     "money_fluctuation decimal(18,2), amount bigint"), _purchase,
-    {"S_STORED": ["id_shop", "id_item"], "P_STORED": ["id_player", "id_item"]})
-BARN_ADMISSION = Job("barn_admission", ("BARN", "ANIMAL"), T.StructType.fromDDL(
+    {"S_STORED": ["id_shop", "id_item"], "P_STORED": ["id_player", "id_item"]},
+    {"S_STORED": _by("id_shop", "id_item", where="action = 'BUY'"),
+     "P_STORED": _by("id_player", "id_item", where="action = 'BUY'")})
+_ARRIVALS = T.StructType.fromDDL(
     "id_animal bigint, name_animal string, age bigint, id_animal_specie bigint, health string, "
-    "id_barn bigint, quantity bigint, arrival_seq bigint"), _barn,
-    {"BARN": ["id_barn"], "ANIMAL": ["id_animal"]})
+    "id_barn bigint, quantity bigint, arrival_seq bigint")
+_BARN_KEYS = {"BARN": ["id_barn"], "ANIMAL": ["id_animal"], "ANIMAL_REJECTED": ["id_animal", "arrival_seq"]}
+_BARN_ROWS = {"BARN": _by("id_barn"), "ANIMAL": _by("id_animal")}
+# Rejected arrivals go to ANIMAL_REJECTED with the rule they failed.
+BARN_ADMISSION = Job("barn_admission", ("BARN", "ANIMAL"), _ARRIVALS, _barn, _BARN_KEYS, _BARN_ROWS)
+# One rejection turns the whole batch away, as a failing statement would.
+BARN_ADMISSION_ALL = Job("barn_admission_all", ("BARN", "ANIMAL"), _ARRIVALS,
+                         partial(_barn, mode="all_or_nothing"), _BARN_KEYS, _BARN_ROWS)
 AFFECTION_BOOST = Job("affection_boost", ("RELATIONSHIP",), T.StructType.fromDDL(
     "id_inhabitant bigint, old_personality string, new_personality string"), _affection,
-    {"RELATIONSHIP": ["id_character1", "id_character2"]})
+    {"RELATIONSHIP": ["id_character1", "id_character2"]}, {"RELATIONSHIP": _either_end})
 DONATION_REWARD = Job("donation_reward", ("P_STORED",), T.StructType.fromDDL(
     "id_donatable bigint, id_museum bigint, id_player bigint, condition_object string"), _reward,
-    {"P_STORED": ["id_player", "id_item"]})
+    {"P_STORED": ["id_player", "id_item"]}, {"P_STORED": _reward_rows})
 
 
 def start_job(spark: SparkSession, job: Job, source_dir: str, store: SnapshotStore,
@@ -103,7 +118,7 @@ def start_job(spark: SparkSession, job: Job, source_dir: str, store: SnapshotSto
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     w = (reader.parquet(source_dir).writeStream
-         .foreachBatch(make_batch_fn(store, list(job.tables), job.apply))
+         .foreachBatch(make_batch_fn(store, list(job.tables), job.apply, job.name, job.restrict))
          .option("checkpointLocation", f"{store.root}/_stream_checkpoint_{job.name}"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     q = w.start()

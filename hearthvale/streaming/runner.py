@@ -2,42 +2,54 @@
 versioned snapshots and exactly-once publication.
 
 Snapshots live under a shared folder (``spark.checkpoint.dir`` on a cluster)
-as ``<root>/<table>/v=<n>/`` Parquet directories. A batch:
+as ``<root>/<table>/v=<n>/`` Parquet directories. A batch of a job:
 
-1. skips itself if its batch id is already in the commit log (replay after a
-   driver restart or a re-delivered epoch changes nothing);
-2. reads the current version of each snapshot it touches;
+1. skips itself if the job has this batch id in the commit log already (replay
+   after a driver restart or a re-delivered epoch changes nothing; every job
+   counts its own batches, so jobs may share a store);
+2. reads the current rows of each snapshot it touches, cut down to the keys of
+   the batch by the job's ``restrict`` rules before versions are resolved;
 3. runs the pure ``apply`` function (the same one checked against SQL);
 4. writes every new snapshot to a *new* version directory (a failed or
    half-written attempt is never visible);
-5. appends one commit-log row ``(batch_id, table, version, kind)``, which is
-   what readers follow. Writing the new version before the log makes a
-   retried batch idempotent; re-reading from Parquet cuts lineage every batch.
+5. appends one commit-log row ``(job, batch_id, table, version, kind)`` per
+   table, which is what readers follow. Writing the new version before the log
+   makes a retried batch idempotent; re-reading from Parquet cuts lineage.
+
+Batches of one store run one after the other (a lock per store): all jobs that
+write a store belong to one application.
 
 Keyed snapshots avoid rewriting the whole table per batch: an ``apply`` may
-return ``Changes(rows)`` — only the rows whose key the batch touched — which
-are written as a *delta* version. The current state is the base version plus
-the later deltas, latest row per key (one ``max_by`` aggregate, combined on
-the map side); ``compact`` folds the deltas into a new full version.
+return ``Changes(rows)`` (only the rows whose key the batch touched), written
+as a *delta* version. The current state is the base version plus the later
+deltas, latest row per key (one ``max_by`` aggregate, combined on the map
+side). After ``COMPACT_AFTER`` deltas the next publication folds them into a
+new full version, so reads and the log rows read stay bounded.
 """
 
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthvale.session import checkpoint_dir
 
+COMPACT_AFTER = 20
+
 _LOG_SCHEMA = T.StructType([
+    T.StructField("job", T.StringType()),
     T.StructField("batch_id", T.LongType()),
     T.StructField("table", T.StringType()),
     T.StructField("version", T.LongType()),
     T.StructField("kind", T.StringType()),
 ])
+_LOCKS: dict[str, threading.RLock] = {}
 
 
 class Changes:
@@ -55,85 +67,108 @@ class SnapshotStore:
         self._log = f"{self.root}/_commits"
         self.keys = dict(keys or {})
 
+        self.lock = _LOCKS.setdefault(self.root, threading.RLock())
+
     # ---- commit log
     def _commits(self) -> DataFrame | None:
+        """The log; None only where nothing was ever published."""
         try:
             return self.spark.read.schema(_LOG_SCHEMA).parquet(self._log)
-        except Exception:  # noqa: BLE001 - no log yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
-    def last_batch(self) -> int:
+    def _latest(self, where, what: str) -> int:
         log = self._commits()
-        if log is None:
-            return -1
-        v = log.agg(F.max("batch_id")).first()[0]
+        v = None if log is None else log.filter(where).agg(F.max(what)).first()[0]
         return -1 if v is None else int(v)
 
+    def last_batch(self, job: str = "") -> int:
+        return self._latest(F.col("job") == job, "batch_id")
+
     def version(self, table: str) -> int:
-        log = self._commits()
-        if log is None:
-            return -1
-        v = log.filter(F.col("table") == table).agg(F.max("version")).first()[0]
-        return -1 if v is None else int(v)
+        return self._latest(F.col("table") == table, "version")
+
+    def _base(self, table: str) -> int:
+        return self._latest((F.col("table") == table) & (F.col("kind") == "full"), "version")
 
     # ---- snapshots
     def path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/v={version}"
 
-    def read(self, table: str) -> DataFrame:
-        log = self._commits()
-        rows = [] if log is None else log.filter(F.col("table") == table).select("version", "kind").collect()
-        if not rows:
+    def read(self, table: str, restrict: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Current rows; ``restrict`` keeps some keys (by key columns alone)."""
+        base = self._base(table)
+        if base < 0:
             raise KeyError(f"snapshot {table} not published")
-        base = max(r.version for r in rows if r.kind == "full")
-        deltas = sorted(r.version for r in rows if r.kind == "delta" and r.version > base)
-        df = self.spark.read.parquet(self.path(table, base))
+        later = (F.col("table") == table) & (F.col("version") > base)
+        deltas = sorted(r.version for r in self._commits().filter(later).select("version").distinct().collect())
+        whole = self.spark.read.parquet(self.path(table, base))
         if not deltas:
-            return df
+            return restrict(whole) if restrict else whole
+        schema = T.StructType([*whole.schema.fields, T.StructField("v", T.LongType())])
+        parts = (self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
+                 .parquet(*[self.path(table, v) for v in (base, *deltas)]))
+        if restrict:
+            parts = restrict(parts)
         keys = self.keys[table]
-        vals = [c for c in df.columns if c not in keys]
-        parts = df.withColumn("__v", F.lit(base))
-        for v in deltas:
-            parts = parts.unionByName(
-                self.spark.read.schema(df.schema).parquet(self.path(table, v)).withColumn("__v", F.lit(v)))
-        latest = parts.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("__v")).alias("__r"))
-        return latest.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in vals]).select(*df.columns)
-
-    def publish(self, batch_id: int, tables: dict[str, DataFrame | Changes]) -> None:
-        written = []
-        for name, df in tables.items():
-            v = self.version(name) + 1
-            kind = "delta" if isinstance(df, Changes) else "full"
-            (df.rows if isinstance(df, Changes) else df).write.mode("overwrite").parquet(self.path(name, v))
-            written.append((int(batch_id), name, v, kind))
-        if not written:
-            written.append((int(batch_id), "_none", 0, "none"))
-        self.spark.createDataFrame(written, _LOG_SCHEMA).write.mode("append").parquet(self._log)
-
-    def compact(self, table: str, batch_id: int | None = None) -> None:
+        vals = [c for c in whole.columns if c not in keys]
+        latest = parts.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("v")).alias("__r"))
+        return latest.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in vals]).select(*whole.columns)
+
+    def publish(self, batch_id: int, tables: dict[str, DataFrame | Changes], job: str = "") -> None:
+        with self.lock:
+            written = []
+            for name, df in tables.items():
+                v = self.version(name) + 1
+                delta = isinstance(df, Changes) and v > 0
+                (df.rows if isinstance(df, Changes) else df).write.mode("overwrite").parquet(self.path(name, v))
+                written.append((job, int(batch_id), name, v, "delta" if delta else "full"))
+            if not written:
+                written.append((job, int(batch_id), "_none", 0, "none"))
+            self.spark.createDataFrame(written, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self._log)
+
+    def compact(self, table: str) -> None:
         """Fold the deltas of a keyed snapshot into a new full version."""
-        self.publish(self.last_batch() if batch_id is None else batch_id, {table: self.read(table)})
+        with self.lock:
+            self.publish(-1, {table: self.read(table)}, "_compact")
+
+    def compact_if_long(self, tables) -> None:
+        for table in tables:
+            if self.version(table) - self._base(table) >= COMPACT_AFTER:
+                self.compact(table)
 
     def init(self, tables: dict[str, DataFrame]) -> None:
         """Publish the starting snapshots as batch -1 (idempotent)."""
-        missing = {k: v for k, v in tables.items() if self.version(k) < 0}
-        if missing:
-            self.publish(-1, missing)
+        with self.lock:
+            missing = {k: v for k, v in tables.items() if self.version(k) < 0}
+            if missing:
+                self.publish(-1, missing, "_init")
 
 
 Apply = Callable[[DataFrame, dict[str, DataFrame]], dict[str, "DataFrame | Changes"]]
 
 
-def make_batch_fn(store: SnapshotStore, tables: list[str], apply: Apply):
-    """``foreachBatch`` callback: exactly-once fold of one micro-batch."""
+def make_batch_fn(store: SnapshotStore, tables: list[str], apply: Apply, job: str = "",
+                  restrict: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] | None = None):
+    """``foreachBatch`` callback: exactly-once fold of one micro-batch of a job.
+    ``restrict[table](snapshot, batch)`` keeps the snapshot rows the batch needs."""
+    def cut(table: str, batch: DataFrame):
+        rule = (restrict or {}).get(table)
+        return (lambda df: rule(df, batch)) if rule else None
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= store.last_batch():
-            return  # already published: replay is a no-op
-        if batch.isEmpty():
-            store.publish(batch_id, {})  # record the id only; snapshots unchanged
-            return
-        snaps = {t: store.read(t) for t in tables}
-        store.publish(batch_id, apply(batch, snaps))
+        with store.lock:
+            if batch_id <= store.last_batch(job):
+                return  # already published: replay is a no-op
+            if batch.isEmpty():
+                store.publish(batch_id, {}, job)  # record the id only; snapshots unchanged
+                return
+            snaps = {t: store.read(t, cut(t, batch)) for t in tables}
+            new = apply(batch, snaps)
+            store.publish(batch_id, new, job)
+            store.compact_if_long(t for t, df in new.items() if isinstance(df, Changes))
     return on_batch
 
 

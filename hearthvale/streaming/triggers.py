@@ -43,40 +43,34 @@ def apply_purchase_stock(batch: DataFrame, s_stored: DataFrame, p_stored: DataFr
 
 # ---------------------------------------------------------------- T2
 def admission_decisions(arrivals: DataFrame, barn: DataFrame, mode: str = "per_row") -> DataFrame:
-    """``arrivals(id_animal, id_barn, arrival_seq)`` -> ``(id_animal, id_barn, admitted)``.
+    """``arrivals(id_animal, id_barn, arrival_seq, ...)`` with the flag ``admitted``.
 
     Admitted <=> the barn is known and (capacity or occupancy is NULL, or the
-    animal is among the first ``max - occupied`` arrivals of its barn).
-
-    Scale: only the first ``K`` arrivals per barn can be admitted, where ``K``
-    is the largest free space of any barn (a bounded capacity, fetched as one
-    number). ``row_number() <= K`` lets Spark run a partial
-    ``WindowGroupLimit`` before the shuffle, so a barn receiving a third of
-    all arrivals ships at most ``K`` rows per map task; every other arrival
-    is rejected by an anti join.
+    animal is among the first ``max - occupied`` arrivals of its barn, by
+    arrival and id; arrivals equal in both share one decision).
+
+    Scale: each barn's last admitted arrival is found from its first ``K + 1``
+    arrivals, where ``K`` is the largest free space of any barn:
+    ``row_number() <= K + 1`` is a partial ``WindowGroupLimit`` before the
+    shuffle, so a barn receiving a third of all arrivals ships few rows per
+    map task. The flag then comes from a join on the barn alone (one row per
+    barn), so repeated animal ids cannot multiply rows.
     """
     if mode not in ("per_row", "all_or_nothing"):
         raise ValueError(mode)
-    b = barn.select("id_barn", "max_capacity", "occupied_spots",
-                    (F.col("max_capacity") - F.col("occupied_spots")).alias("free"))
-    a = arrivals.select("id_animal", "id_barn", "arrival_seq")
-    known = a.join(b, "id_barn")
-    unlimited = known.filter(F.col("free").isNull()).select("id_animal")
-    limited = known.filter(F.col("free").isNotNull() & (F.col("free") > 0))
-    # the bound only has to be >= every barn's free space: take it from the
-    # (small) barn snapshot, not from the arrivals join
-    k_row = b.agg(F.max("free")).first()
-    k = int(k_row[0]) if k_row and k_row[0] is not None else 0
-    if k > 0:
-        rn = F.row_number().over(Window.partitionBy("id_barn").orderBy("arrival_seq", "id_animal"))
-        firsts = (limited.select("id_animal", "id_barn", "arrival_seq", "free")
-                  .withColumn("rn", rn).filter(F.col("rn") <= k))
-        admitted_ids = firsts.filter(F.col("rn") <= F.col("free")).select("id_animal").unionByName(unlimited)
-    else:
-        admitted_ids = unlimited
-    flag = admitted_ids.withColumn("admitted", F.lit(True))
-    out = a.join(flag, "id_animal", "left").select(
-        "id_animal", "id_barn", F.coalesce(F.col("admitted"), F.lit(False)).alias("admitted"))
+    b = barn.select("id_barn", (F.col("max_capacity") - F.col("occupied_spots")).alias("__free"), F.lit(True).alias("__known"))
+    k_row = b.agg(F.max("__free")).first()      # from the (small) barn snapshot, not from the arrivals
+    k = max(0, int(k_row[0])) if k_row and k_row[0] is not None else 0
+    turn = Window.partitionBy("id_barn").orderBy("arrival_seq", "id_animal")
+    firsts = (arrivals.select("id_animal", "id_barn", "arrival_seq").join(b.filter("__free > 0"), "id_barn")
+              .withColumn("__rn", F.row_number().over(turn)).filter(F.col("__rn") <= k + 1))
+    so_far = F.count(F.lit(1)).over(turn)       # default frame: equal arrivals count together
+    cut = (firsts.withColumn("__n", so_far).filter("__n <= __free")
+           .groupBy("id_barn").agg(F.max(F.struct("arrival_seq", "id_animal")).alias("__cut")))
+    placed = arrivals.join(b.join(cut, "id_barn", "left"), "id_barn", "left")
+    fits = F.col("__free").isNull() | (F.struct("arrival_seq", "id_animal") <= F.col("__cut"))
+    out = placed.withColumn("admitted", F.coalesce(F.col("__known") & F.coalesce(fits, F.lit(False)), F.lit(False)))
+    out = out.select(*arrivals.columns, "admitted")
     if mode == "all_or_nothing":
         any_reject = out.filter(~F.col("admitted")).agg(F.count(F.lit(1))).scalar()
         out = out.withColumn("admitted", F.col("admitted") & (any_reject == 0))

@@ -161,3 +161,44 @@ def test_not_in_follows_sql_null_rules(spark):
 def test_rank_cut_empty_table_gives_null(spark):
     df = spark.createDataFrame([], "v long")
     assert value_at_rank(df, "v", 97, 100).first().cut is None
+
+
+def test_pairs_far_target_and_clustered_decimals_stay_linear(spark):
+    from hearthvale.operators.pairs import candidate_values
+
+    far = spark.createDataFrame([(i, 1_000_000 + i) for i in range(1, 601)], "id long, v long")
+    near = spark.createDataFrame([(i, 50.0 + i / 1e6) for i in range(500)] + [(999, 1e9)], "id long, v double")
+    for df, k in ((far, 4), (near, 4)):
+        data = [(r.id, r.v) for r in df.collect()]
+        naive = sorted((abs(a[1] + b[1] - 100.0), min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(data) for b in data[i + 1:])[:k]
+        got = [(r.dist, r.id1, r.id2) for r in closest_pair_sums(df, "id", "v", 100.0, k).collect()]
+        assert [g[1:] for g in got] == [n[1:] for n in naive]
+        assert candidate_values(df.select("v").distinct(), 100.0, k).count() <= 2 * (k + 1) * len(data)
+
+
+def test_rank_cut_on_near_unique_values(spark):
+    import math
+
+    df = spark.range(0, 5003).selectExpr("if(id % 100 = 0, null, (id * 7919) % 5003) as v")
+    vals = sorted(r.v for r in df.collect() if r.v is not None)
+    for num in (1, 50, 97):
+        assert value_at_rank(df, "v", num, 100).first().cut == vals[math.ceil(5003 * num / 100) - 1]
+    assert value_at_rank(df, "v", 100, 100).first().cut is None
+
+
+def test_arrival_order_of_uneven_files(spark, tmpdir_run):
+    import os
+
+    from hearthvale.sources.staging import STAGING_COLUMNS, read_staging
+
+    cols, path = STAGING_COLUMNS["ITEMS_DATA"], os.path.join(tmpdir_run, "items")
+    os.makedirs(path)
+    row = lambda i: ",".join([str(i)] + ["x"] * (len(cols) - 1))
+    for name, ids in (("part-0.csv", range(1)), ("part-1.csv", range(1, 400)), ("part-2.csv", range(400, 402))):
+        with open(os.path.join(path, name), "w") as f:
+            f.write("\n".join([",".join(cols), *map(row, ids)]) + "\n")
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = [int(r.ID) for r in read_staging(spark, "ITEMS_DATA", path).orderBy("ingest_seq").select("ID").collect()]
+        assert got == list(range(402))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")

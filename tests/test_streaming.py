@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import os
 
 from conftest import rows
@@ -134,6 +136,7 @@ def test_barn_job_over_file_stream(spark, tmpdir_run):
     start_job(spark, BARN_ADMISSION, src, store, max_files_per_trigger=1)
     # barn 1 holds 2: animals 10 and 12 get in (one per batch), 13 is turned away
     assert sorted(r.id_animal for r in store.read("ANIMAL").collect()) == [10, 11, 12]
+    assert [(r.id_animal, r.rule) for r in store.read("ANIMAL_REJECTED").collect()] == [(13, "barn_full_or_unknown")]
     # NULL capacity never rejects, and its occupancy still counts the arrival
     assert rows(store.read("BARN")) == [(1, 2, 2), (2, None, 1)]
 
@@ -161,3 +164,63 @@ def test_purchase_job_writes_only_touched_rows(spark, tmpdir_run):
     assert spark.read.parquet(store.path("S_STORED", last)).count() == 1
     store.compact("S_STORED")
     assert {(r.id_shop, r.id_item): r.quantity for r in store.read("S_STORED").collect()} == s
+
+
+def test_two_jobs_share_a_store(spark, tmpdir_run):
+    import datetime as dt
+    from decimal import Decimal
+
+    from hearthvale.streaming.jobs import DONATION_REWARD, PURCHASE_STOCK, start_job
+
+    store = SnapshotStore(spark, os.path.join(tmpdir_run, "shared"))
+    store.init({"S_STORED": spark.createDataFrame([(1, 1, 10)], S), "P_STORED": spark.createDataFrame([(7, 1, 1)], P)})
+    buys, gifts = os.path.join(tmpdir_run, "buys"), os.path.join(tmpdir_run, "gifts")
+    t = dt.datetime(2024, 1, 1)
+    for n in (2, 3):
+        spark.createDataFrame([(1, 7, 1, t, "BUY", Decimal("-1.00"), n)], PURCHASE_STOCK.schema).coalesce(1).write.mode("append").parquet(buys)
+    spark.createDataFrame([(5, 1, 7, "New")], DONATION_REWARD.schema).coalesce(1).write.mode("append").parquet(gifts)
+    start_job(spark, PURCHASE_STOCK, buys, store, max_files_per_trigger=1)
+    start_job(spark, DONATION_REWARD, gifts, store)
+    assert rows(store.read("P_STORED")) == [(7, 1, 6), (7, 9999, 1)]
+    assert (store.last_batch("purchase_stock"), store.last_batch("donation_reward")) == (1, 0)
+
+
+def test_log_errors_are_not_taken_for_an_empty_log(spark, tmpdir_run, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    store = SnapshotStore(spark, os.path.join(tmpdir_run, "broken"))
+    assert store.last_batch("x") == -1
+    store.init({"S_STORED": spark.createDataFrame([(1, 1, 10)], S)})
+    bad = os.path.join(store._log, "part-bad.parquet")
+    with open(bad, "wb") as f:
+        f.write(b"no parquet")
+    with pytest.raises(Exception) as e:
+        store.version("S_STORED")
+    assert not (isinstance(e.value, AnalysisException) and e.value.getCondition() == "PATH_NOT_FOUND")
+
+
+def test_repeated_animal_ids_stay_single_rows(spark):
+    barn = spark.createDataFrame([(1, 2, 0)], BARN)
+    arr = spark.createDataFrame([(100, 1, 1), (100, 1, 2), (100, 1, 3), (None, 1, 4)], ARR)
+    got = sorted((r.arrival_seq, r.admitted) for r in admission_decisions(arr, barn).collect())
+    assert got == [(1, True), (2, True), (3, False), (4, False)]
+
+
+def test_all_or_nothing_job_and_compaction(spark, tmpdir_run, monkeypatch):
+    from pyspark.sql import types as T
+
+    from hearthvale.streaming import runner
+    from hearthvale.streaming.jobs import BARN_ADMISSION_ALL, start_job
+
+    monkeypatch.setattr(runner, "COMPACT_AFTER", 2)
+    store = SnapshotStore(spark, os.path.join(tmpdir_run, "all"))
+    cols = [f for f in BARN_ADMISSION_ALL.schema.fields if f.name != "arrival_seq"]
+    store.init({"BARN": spark.createDataFrame([(1, 2, 0)], BARN), "ANIMAL": spark.createDataFrame([], T.StructType(cols))})
+    src = os.path.join(tmpdir_run, "arrivals")
+    for batch in ([(10, 1)], [(11, 1), (12, 1)], [(13, 1)]):
+        full = [(i, "a", 1, 1, "Healthy", b, 1, i) for i, b in batch]
+        spark.createDataFrame(full, BARN_ADMISSION_ALL.schema).coalesce(1).write.mode("append").parquet(src)
+    start_job(spark, BARN_ADMISSION_ALL, src, store, max_files_per_trigger=1)
+    assert sorted(r.id_animal for r in store.read("ANIMAL").collect()) == [10, 13]
+    assert sorted(r.id_animal for r in store.read("ANIMAL_REJECTED").collect()) == [11, 12]
+    assert rows(store.read("BARN")) == [(1, 2, 2)] and store._base("BARN") > 0
