@@ -46,6 +46,10 @@ dec AS (SELECT id_animal, id_barn,
 
 BARN_ADMISSION = "WITH " + _ARRIVALS + "SELECT id_animal, id_barn, admitted FROM dec"
 
+BARN_REJECTS = "WITH " + _ARRIVALS + """
+SELECT id_animal, id_barn, id_animal AS arrival_seq FROM dec WHERE NOT admitted
+"""
+
 BARN_OCCUPANCY = "WITH " + _ARRIVALS + """
 SELECT b.id_barn, b.max_capacity,
        CAST(b.occupied_spots + coalesce((SELECT count(*) FROM dec WHERE dec.admitted AND dec.id_barn = b.id_barn), 0)

@@ -61,7 +61,13 @@ def arrival_inputs(d) -> DataFrame:
 def stream_barn_admission(d, mode: str = "per_row") -> DataFrame:
     """Admission decision per arriving animal."""
     dec, _ = apply_barn_admission(arrival_inputs(d), d.barn, mode)
-    return dec
+    return dec.select("id_animal", "id_barn", "admitted")
+
+
+def stream_barn_rejects(d) -> DataFrame:
+    """Arrivals that go to quarantine, in arrival order per barn."""
+    dec, _ = apply_barn_admission(arrival_inputs(d), d.barn, "per_row")
+    return dec.filter("NOT admitted").select("id_animal", "id_barn", "arrival_seq")
 
 
 def stream_barn_occupancy(d) -> DataFrame:

@@ -26,13 +26,13 @@ from hearthvale.sources.bridge import Domain
 Entry = tuple[Callable[[SparkSession, str], DataFrame], "str | None"]
 
 
-_DOMAINS: dict[tuple[int, str], Domain] = {}
+_DOMAINS: dict[str, Domain] = {}
 
 
 def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
-    """One lazy Domain per (session, directory): entries share the bridged
+    """One lazy Domain per directory, of the latest session: entries share the bridged
     DataFrame *definitions* (plan objects only — no data is cached)."""
-    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir.rstrip("/"))
+    key = sf_dir.rstrip("/")
     d = _DOMAINS.get(key)
     if d is None or d.spark is not spark:
         d = _DOMAINS[key] = Domain(spark, sf_dir)
@@ -106,6 +106,7 @@ def entries() -> dict[str, Entry]:
         # ---- event-driven (trigger) folds
         "stream_purchase_stock": (_q(streams.stream_purchase_stock), with_bridge(os_.PURCHASE_STOCK)),
         "stream_barn_admission": (_q(streams.stream_barn_admission), with_bridge(os_.BARN_ADMISSION)),
+        "stream_barn_rejects": (_q(streams.stream_barn_rejects), with_bridge(os_.BARN_REJECTS)),
         "stream_barn_occupancy": (_q(streams.stream_barn_occupancy), with_bridge(os_.BARN_OCCUPANCY)),
         "stream_affection_boost": (_q(streams.stream_affection_boost), with_bridge(os_.AFFECTION_BOOST)),
         "stream_donation_reward": (_q(streams.stream_donation_reward), with_bridge(os_.DONATION_REWARD)),
