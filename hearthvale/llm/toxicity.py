@@ -30,28 +30,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthvale.llm.common import ship, small, staged, text_of
+from hearthvale.llm.tokens import portions
 from hearthvale.llm.wordhash import WORDS, mix, runs
 
 SAMPLE, TERMS, BLOCK, K = 4000, 2048, 64, 15
+AT_ONCE = 16         # blocks scored together
 PREFIXES, LIFT, MIN_CHI2 = (4, 5), 8.0, 20.0
+PORTION = 2 << 20    # bytes of text worked on at a time
 _TABLE = 1 << 20     # direct look-up table before the exact look-up
 
 
-def word_forms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every word and of the prefixes of longer words."""
-    words, start, end, cut, data = runs(texts, WORDS)
-    text = np.repeat(np.arange(len(texts)), np.diff(cut))
-    hashes, owners = [words], [text]
-    low = np.where((data >= 65) & (data < 91), data + 32, data).astype(np.uint64) if len(data) else data
-    for size in PREFIXES:
-        at = np.flatnonzero(end - start > size)
-        h = np.full(len(at), size, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(size):
-                h = h * np.uint64(0x100000001B3) + low[start[at] + j]
-            hashes.append(mix(h))
-        owners.append(text[at])
-    return np.concatenate(hashes), np.concatenate(owners)
+def word_forms(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, text) of every word, then of the prefixes of longer words, for
+    one portion of the texts after the other."""
+    for p in portions(texts, PORTION):
+        words, start, end, cut, data = runs(texts[p], WORDS)
+        text = np.repeat(np.arange(p.start, p.stop), np.diff(cut))
+        yield words, text
+        for size in PREFIXES:
+            at = np.flatnonzero(end - start > size)
+            h, first = np.full(len(at), size, np.uint64), start[at]
+            with np.errstate(over="ignore"):
+                for j in range(size):
+                    byte = data[first + j]
+                    h = h * np.uint64(0x100000001B3) + np.where((byte >= 65) & (byte < 91), byte + 32, byte)
+                yield mix(h), text[at]
 
 
 class Terms:
@@ -64,15 +67,16 @@ class Terms:
 
     def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, occurrences), sorted by text and term."""
-        words, text = word_forms(texts)
-        at = np.flatnonzero(self.table[(words & np.uint64(_TABLE - 1)).astype(np.int64)])
-        words, text = words[at], text[at]
-        term = np.searchsorted(self.hashes, words)
-        hit = term < len(self.hashes)
-        hit[hit] = self.hashes[term[hit]] == words[hit]
-        text, term = text[hit], term[hit]
-        key, n = np.unique(text * (len(self.hashes) + 1) + term, return_counts=True)
-        return key // (len(self.hashes) + 1), key % (len(self.hashes) + 1), n
+        size, keys = len(self.hashes), [np.empty(0, np.int64)]
+        for words, text in word_forms(texts):
+            at = np.flatnonzero(self.table[(words & np.uint64(_TABLE - 1)).astype(np.int64)])
+            words, text = words[at], text[at]
+            term = np.searchsorted(self.hashes, words)
+            hit = term < size
+            hit[hit] = self.hashes[term[hit]] == words[hit]
+            keys.append(text[hit] * (size + 1) + term[hit])
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        return key // (size + 1), key % (size + 1), n
 
 
 class BlockMaxIndex:
@@ -93,19 +97,23 @@ class BlockMaxIndex:
         """Examples of the ``k`` highest cosines above 0 (ties: smaller
         number), but for ``without``."""
         bound = weight @ self.most[term]
-        best, score, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < floor - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                s = slice(*self.begin[t * self.blocks + block:t * self.blocks + block + 2])
-                sums[self.example[s] - block * BLOCK] += w * self.weight[s]
+        order = np.argsort(-bound, kind="stable")
+        best, score, floor, at = np.empty(0, np.int64), np.empty(0), 0.0, 0
+        while at < len(order):
+            blocks = order[at:at + AT_ONCE]
+            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= floor - 1e-12)]
+            if not len(blocks):
+                break                            # bounds fall from here on
+            at += AT_ONCE
+            cell = (term[:, None] * self.blocks + blocks).ravel()
+            size = self.begin[cell + 1] - self.begin[cell]
+            rows = np.repeat(self.begin[cell] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            sums = np.bincount(self.example[rows], np.repeat(np.repeat(weight, len(blocks)), size) * self.weight[rows], self.n)
             here = np.flatnonzero(sums > 0)
-            here = here[here + block * BLOCK != without]
-            best, score = np.r_[best, here + block * BLOCK], np.r_[score, sums[here]]
-            order = np.lexsort((best, -np.round(score, 12)))[:k]
-            best, score = best[order], score[order]
+            here = here[here != without]
+            best, score = np.concatenate([best, here]), np.concatenate([score, sums[here]])
+            keep = np.lexsort((best, -np.round(score, 12)))[:k]
+            best, score = best[keep], score[keep]
             if len(best) == k:
                 floor = score[-1]
         return best, score
@@ -209,12 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, text = word_forms(b.column(1))
-            order = np.lexsort((words, text))
-            words, text = words[order], text[order]
-            new = np.r_[True, (words[1:] != words[:-1]) | (text[1:] != text[:-1])][:len(words)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[new])), pa.array(words[new].view(np.int64))],
-                                             names=["y", "h"])
+            for p in portions(b.column(1), PORTION):
+                found = list(word_forms(b.column(1)[p]))
+                words, text = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((words, text))
+                words, text = words[order], text[order]
+                new = np.r_[True, (words[1:] != words[:-1]) | (text[1:] != text[:-1])][:len(words)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[p].take(pa.array(text[new])), pa.array(words[new].view(np.int64))], names=["y", "h"])
 
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)

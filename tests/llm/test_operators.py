@@ -250,3 +250,19 @@ def test_registered_sql_matches(spark):
         b = con.execute(sql).df()[list(a.columns)]
         key = list(a.columns[:2])
         assert a.sort_values(key).values.tolist() == b.sort_values(key).values.tolist()
+
+
+def test_block_max_search_equals_full_scan():
+    from hearthvale.llm.toxicity import BlockMaxIndex
+
+    rng = np.random.default_rng(0)
+    n, t = 700, 50
+    ex, te = np.repeat(np.arange(n), 6), np.concatenate([rng.choice(t, 6, replace=False) for _ in range(n)])
+    w = rng.random(n * 6).round(2)
+    index, dense = BlockMaxIndex(ex, te, w, n, t), np.zeros((n, t))
+    dense[ex, te] = w
+    for _ in range(100):
+        q, qw, out = rng.choice(t, 5, replace=False), rng.random(5).round(2), int(rng.integers(n))
+        s = dense[:, q] @ qw
+        s[out] = -1
+        assert index.nearest(q, qw, 15, out)[0].tolist() == [i for i in np.lexsort((np.arange(n), -np.round(s, 12))) if s[i] > 0][:15]
