@@ -31,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthvale.llm.common import ship, text_of
+from hearthvale.llm.tokens import portions
 from hearthvale.llm.toxicity import examples
 from hearthvale.llm.wordhash import runs
 
 BUCKETS, DIM, ONES, REACH = 8192, 64, 4, 2
 SAMPLE, HIDDEN, EPOCHS, BATCH = 6000, 48, 30, 128
-PORTION = 400_000     # tokens counted at a time
+PORTION = 2 << 20     # bytes of text worked on at a time
 
 _BYTES = np.arange(256)
 _CLASS = np.where((_BYTES >= 0x80) | ((_BYTES >= 48) & (_BYTES < 58)) | ((_BYTES >= 65) & (_BYTES < 91))
@@ -77,19 +78,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, bool)
         for b in batches:
-            bucket, cut, _, _ = tokens(b.column(0))
-            text = np.repeat(np.arange(len(b)), np.diff(cut))
-            seen[bucket] = True
-            for i in range(0, len(bucket), PORTION):
-                s = slice(max(0, i - REACH), i + PORTION)
-                new = np.zeros(BUCKETS * DIM)
-                add_contexts(new, bucket[s], text[s], places, signs)
-                if i:                                   # pairs wholly before this portion are counted already
-                    again = np.zeros(BUCKETS * DIM)
-                    t = slice(max(0, i - REACH), i)
-                    add_contexts(again, bucket[t], text[t], places, signs)
-                    new -= again
-                total += new
+            for p in portions(b.column(0), PORTION):
+                bucket, cut, _, _ = tokens(b.column(0)[p])
+                seen[bucket] = True
+                add_contexts(total, bucket, np.repeat(np.arange(len(cut) - 1), np.diff(cut)), places, signs)
         rows = np.flatnonzero(seen)
         vecs = total.reshape(BUCKETS, DIM)[rows]
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(vecs[:, j].astype(np.float32)) for j in range(DIM))],
@@ -111,6 +103,11 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """One feature row per text."""
+    parts = [_pooled(texts[p], vectors) for p in portions(texts, PORTION)]
+    return np.concatenate(parts) if parts else np.zeros((0, 2 * DIM + 2), np.float32)
+
+
+def _pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     bucket, cut, loud_text, loud = tokens(texts)
     n = np.diff(cut)
     text = np.r_[np.repeat(np.arange(len(texts)), n), loud_text]
@@ -120,8 +117,8 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     begin = np.searchsorted(owner, np.arange(len(texts) + 1))
     kinds = np.diff(begin)
     some = np.flatnonzero(kinds)
-    for i in range(0, len(some), 512):
-        part = some[i:i + 512]
+    for i in range(0, len(some), 256):
+        part = some[i:i + 256]
         a, b = begin[part[0]], begin[part[-1] + 1]
         v = vectors[word[a:b]]
         at = begin[part] - a
