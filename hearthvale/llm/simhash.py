@@ -25,7 +25,7 @@ rows; an empty table gives no rows; other columns are ignored by
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -101,10 +101,9 @@ def pigeonring(a: Column, b: Column) -> Column:
     return starts[0] | starts[1] | starts[2] | starts[3]
 
 
-def _masks(bits: int) -> list[int]:
-    """All 64-bit masks of exactly ``bits`` ones, as signed longs."""
-    out = [sum(1 << p for p in ps) for ps in combinations(range(64), bits)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
+def _flip(place: str) -> Column:
+    """A mask of one bit; of none at place 64."""
+    return F.expr(f"if({place} < 64, shiftleft(1L, {place}), 0L)")
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -120,13 +119,11 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
             .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b"))
 
     dense = shared.filter(F.col("count") > bucket).select("fp").distinct()
-    spark = fps.sparkSession
-    masks = spark.createDataFrame([(m, k) for k in (0, 1, 2) for m in _masks(k)], "mask long, bits int")  # 2 081 rows
-    around = dense.select("fp", F.explode(F.array(*[F.lit(m) for k in (0, 1) for m in _masks(k)])).alias("mask"))
-    centre = (around.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("z"), "fp")
+    one = dense.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
+    centre = (one.select(F.col("fp").bitwiseXOR(_flip("i")).alias("z"), "fp")          # 65 centres each
               .groupBy("z").agg(F.min("fp").alias("b")))
-    wide = (dense.withColumn("on", F.lit(0)).join(F.broadcast(masks.withColumn("on", F.lit(0))), "on")
-            .select(F.col("fp").bitwiseXOR(F.col("mask")).alias("z"), F.col("fp").alias("a")))
+    two = one.select("fp", "i", F.explode(F.sequence(F.least(F.col("i") + 1, F.lit(64)), F.lit(64))).alias("j"))
+    wide = two.select(F.col("fp").bitwiseXOR(_flip("i")).bitwiseXOR(_flip("j")).alias("z"), F.col("fp").alias("a"))  # 2 081
     far = wide.join(centre, "z").filter("a <> b").select("a", "b").distinct()
     return near.union(far)
 
