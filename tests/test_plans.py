@@ -9,6 +9,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from hearthvale.registry import entries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -20,7 +21,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(entries()) - SKIP))
 def test_no_quadratic_joins(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert "BroadcastNestedLoopJoin" not in plan
