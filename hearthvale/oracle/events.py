@@ -26,6 +26,16 @@ SELECT id, description, id AS id_person, name, CAST(total AS DECIMAL(18,2)) AS m
 FROM most JOIN events_stg USING (id)
 """
 
+# The same with people told apart by their own id.
+E2_PERSON = """
+WITH spent AS (
+  SELECT id, id_person, sum(gold_expended) AS total FROM festivity_persons GROUP BY id, id_person),
+known AS (SELECT spent.*, name FROM spent JOIN character ON id_character = id_person JOIN events_stg USING (id))
+SELECT id, description, id_person, name, CAST(total AS DECIMAL(18,2)) AS max_spent
+FROM known JOIN events_stg USING (id)
+QUALIFY rank() OVER (PARTITION BY id ORDER BY total DESC NULLS FIRST) = 1
+"""
+
 # Both sides of the gap per museum, then the gap.
 E3 = """
 WITH goal AS (SELECT count(*) AS n FROM donatable),

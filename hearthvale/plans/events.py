@@ -31,22 +31,26 @@ def active_people(d) -> DataFrame:
                       F.lit(None).cast("string").alias("last_name"), "event_count")
 
 
-def top_spender_per_event(d) -> DataFrame:
+def top_spender_per_event(d, by_person: bool = False) -> DataFrame:
     """Rank-1 spender per event, ties kept.
 
-    Reproduced as written: spends are grouped per festivity id and name and
-    the festivity id (exposed as ``id_person``) is matched to the event id.
-    The rank is one aggregate per event joined back (no window over the
+    ``by_person`` tells people apart by their own id, as the report means to;
+    without it the query is reproduced as written: spends are
+    grouped per festivity id and name and the festivity id (exposed as
+    ``id_person``) is matched to the event id. The rank is one aggregate per event joined back (no window over the
     per-person rows, which would put all of an event's people in one task).
     """
     # spends are summed per (festival, person) before the name join, then per
     # (festival, name) as the reference groups (same-named people merge)
     per_person = (d.festivity_persons.groupBy("id", "id_person")
                   .agg(F.sum("gold_expended").alias("spent")))
-    spend = (per_person.join(d.character.select(F.col("id_character").alias("id_person"), "name"), "id_person")
-             .groupBy("id", "name").agg(F.sum("spent").alias("total_spent"))
-             .select(F.col("id").alias("id_person"), "name", "total_spent"))
-    j = d.events_stg.join(spend, F.col("id_person") == F.col("id"))
+    named = per_person.join(d.character.select(F.col("id_character").alias("id_person"), "name"), "id_person")
+    if by_person:
+        spend = named.withColumnRenamed("spent", "total_spent")
+    else:
+        spend = (named.groupBy("id", "name").agg(F.sum("spent").alias("total_spent"))
+                 .withColumn("id_person", F.col("id")))
+    j = d.events_stg.join(spend, "id")
     top = rank1_per_group(j, ["id"], "total_spent")
     return (top.select("id", "description", "id_person", "name",
                        F.col("total_spent").cast("decimal(18,2)").alias("max_spent"))

@@ -86,6 +86,7 @@ def entries() -> dict[str, Entry]:
         # ---- events
         "active_people": (_q(events.active_people), with_bridge(oe.E1)),
         "top_spender_per_event": (_q(events.top_spender_per_event), with_bridge(oe.E2)),
+        "top_spender_per_event_person": (_q(events.top_spender_per_event, by_person=True), with_bridge(oe.E2_PERSON)),
         "museum_completion_gap": (_q(events.museum_completion_gap), with_bridge(oe.E3)),
         "donation_mix": (_q(events.donation_mix), with_bridge(oe.E4)),
         "best_discount_per_shop": (_q(events.best_discount_per_shop), with_bridge(oe.E5)),

@@ -202,3 +202,26 @@ def test_arrival_order_of_uneven_files(spark, tmpdir_run):
         got = [int(r.ID) for r in read_staging(spark, "ITEMS_DATA", path).orderBy("ingest_seq").select("ID").collect()]
         assert got == list(range(402))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+
+
+def test_cascade_delete_follows_the_declared_parents(spark):
+    from hearthvale.operators.cascade import cascade_delete
+    from hearthvale.schemas import Table
+
+    def table(name, pk, fks=(), cascade=()):
+        return Table(name, (), pk, fks=fks, cascade=cascade)
+
+    spec = {
+        "a": table("a", ("x",)),
+        "b": table("b", ("y",), ((("ax",), "a", ("x",)),), ("a",)),
+        "c": table("c", ("z",), ((("by",), "b", ("y",)),), ("b",)),
+        "d": table("d", ("w",), ((("ax",), "a", ("x",)),)),          # keeps its rows: no cascade declared
+    }
+    frames = {
+        "a": spark.createDataFrame([(1,), (2,)], "x long"),
+        "b": spark.createDataFrame([(10, 1), (11, 2), (12, None)], "y long, ax long"),
+        "c": spark.createDataFrame([(100, 10), (101, 11), (102, None)], "z long, by long"),
+        "d": spark.createDataFrame([(5, 1)], "w long, ax long"),
+    }
+    out = cascade_delete(frames, "a", spark.createDataFrame([(1,)], "x long"), spec)
+    assert [sorted(r[0] for r in out[k].collect()) for k in "abcd"] == [[2], [11, 12], [101, 102], [5]]
