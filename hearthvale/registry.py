@@ -17,6 +17,7 @@ from hearthvale.oracle import etl as ot
 from hearthvale.oracle import events as oe
 from hearthvale.oracle import farm as of
 from hearthvale.oracle import items as oi
+from hearthvale.oracle import loads as ol
 from hearthvale.oracle import streams as os_
 from hearthvale.oracle import village as ov
 from hearthvale.oracle.bridge import with_bridge
@@ -114,6 +115,8 @@ def entries() -> dict[str, Entry]:
         # ---- constraint audit
         "audit_constraints": (_q(audit.audit_constraints), with_bridge(oa.audit_sql())),
         # ---- the whole normalising load (54 loads + 1 update); rows-only check
+        "etl_load_items": (_q(loads.load_group, group="items"), ol.ITEMS),
+        "etl_load_people": (_q(loads.load_group, group="people"), ol.PEOPLE),
         "etl_full_load": (_q(loads.full_load_counts), None),
     }
     return reg
