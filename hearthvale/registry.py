@@ -117,6 +117,7 @@ def entries() -> dict[str, Entry]:
         # ---- the whole normalising load (54 loads + 1 update); rows-only check
         "etl_load_items": (_q(loads.load_group, group="items"), ol.ITEMS),
         "etl_load_people": (_q(loads.load_group, group="people"), ol.PEOPLE),
+        "etl_load_farms": (_q(loads.load_group, group="farms"), ol.FARMS),
         "etl_full_load": (_q(loads.full_load_counts), None),
     }
     return reg
