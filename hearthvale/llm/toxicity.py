@@ -157,8 +157,8 @@ class Model:
         y = self.toxic[near]
         return float(((w * y).sum() + 0.05 * self.share) / (w.sum() + 0.05)), float((cosine * y).max(initial=0.0))
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list]]:
-        out, evidence = np.full(len(texts), self.plain), [[] for _ in range(len(texts))]
+    def score(self, texts: pa.Array, explain: bool = True) -> tuple[np.ndarray, list[list]]:
+        out, evidence = np.full(len(texts), self.plain), [[]] * len(texts)
         if self.index is None:
             return np.full(len(texts), self.share), evidence
         text, term, n = self.terms.find(texts)
@@ -166,11 +166,12 @@ class Model:
         for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(text)]):
             key = term[b:e].tobytes() + n[b:e].tobytes()
             if key not in self.seen:
-                if len(self.seen) > 20_000:
+                if len(self.seen) > 2_000:
                     self.seen.clear()
                 near, cosine = self.index.nearest(term[b:e], unit(term[b:e], n[b:e], self.idf), K)
                 p = 1 / (1 + np.exp(-np.clip(self.fit @ np.r_[1.0, self.vote(near, cosine)], -30, 30)))
-                self.seen[key] = float(p), [{"example": int(self.ids[i]), "cosine": float(c)} for i, c in zip(near, cosine)]
+                self.seen[key] = float(p), [{"example": int(self.ids[i]), "cosine": float(c)}
+                                            for i, c in zip(near, cosine)] if explain else []
             out[text[b]], evidence[text[b]] = self.seen[key]
         return out, evidence
 
@@ -271,14 +272,18 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score: st
     """``docs`` with the probability, and if named, the neighbours behind it."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("score double, evidence array<struct<example: long, cosine: double>>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<score: double, evidence: array<struct<example: long, cosine: double>>>")
+    def with_evidence(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             p, near = held.value.score(pa.array(texts, pa.large_string(), from_pandas=True))
             yield pd.DataFrame({"score": p, "evidence": near})
 
-    out = docs.withColumn("__toxic", of(text_of(docs, text_col)))
-    new = {score: F.col("__toxic.score")}
-    if evidence:
-        new[evidence] = F.col("__toxic.evidence")
-    return out.withColumns(new).drop("__toxic")
+    @F.pandas_udf("double")
+    def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(held.value.score(pa.array(texts, pa.large_string(), from_pandas=True), explain=False)[0])
+
+    if not evidence:
+        return docs.withColumn(score, alone(text_of(docs, text_col)))
+    out = docs.withColumn("__toxic", with_evidence(text_of(docs, text_col)))
+    return out.withColumns({score: F.col("__toxic.score"), evidence: F.col("__toxic.evidence")}).drop("__toxic")
