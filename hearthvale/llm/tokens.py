@@ -2,7 +2,7 @@
 
 The library spends most of its time on splitting a text and on bookkeeping, so
 a text is first cut at places where its pre-tokenizer always cuts, and each
-distinct chunk is encoded once per worker:
+distinct chunk is looked up once per call:
 
 * mode ``word`` (vocabularies that drop white space and lower-case): chunks are
   separated by ASCII white space;
@@ -36,16 +36,16 @@ _ODD = re.compile(f"[{_WIDE}]")
 _ENDS = {chr(c) for c in range(33)}
 _GLUE, _CUT = "\ue000", "\ue001"    # private-use marks between chunks and pieces
 
-CACHE_CHUNKS, CACHE_PIECES = 300_000, 700_000
-PORTION = 12 << 20    # bytes of text encoded at a time
+CACHE_PIECES = 400_000
+PORTION = 12 << 20   # bytes of text encoded at a time
 
 
 class CachedEncoder:
     """``encode(texts)`` gives, per text, its ids and the end id as bytes.
 
     Ids are little-endian unsigned of ``dtype`` (two bytes when the vocabulary
-    fits). The caches are bounded by ``CACHE_CHUNKS`` and
-    ``CACHE_PIECES`` entries and one call's words.
+    fits). The cache is bounded by ``CACHE_PIECES`` entries and
+    one call's words.
     """
 
     def __init__(self, path: str, mode: str, end_id: int = 2):
@@ -60,7 +60,6 @@ class CachedEncoder:
         self.word = mode == "word"
         self.sep, self.mark = (" | ", "|") if self.word else ("\n", "\n")
         self.sep_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0]
-        self.chunks: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
 
     # -- distinct pieces ---------------------------------------------------
@@ -109,15 +108,16 @@ class CachedEncoder:
             return [c.split(_CUT) for c in cut.split(_GLUE)]
         return [_INNER.split(c) for c in chunks]
 
-    def _chunk_ids(self, chunks: list[str]) -> dict[str, bytes | None]:
-        """Ids of unknown chunks; in byte mode a chunk comes without its leading
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of distinct chunks; in byte mode a chunk comes without its leading
         space, and is None if white space stands at an end of it."""
         if self.word:
-            return dict(zip(chunks, self._learn(self._cut(chunks))))
-        good = [c for c in chunks if c and not ((c[-1] in _ENDS or c[-1] > "~") and _ODD.match(c[-1])
-                                                or (c[0] in _ENDS or c[0] > "~") and _ODD.match(c[0]))]
-        out: dict[str, bytes | None] = dict.fromkeys(chunks)
-        out.update(zip(good, self._learn(self._cut([" " + c for c in good]))))
+            return self._learn(self._cut(chunks))
+        good = [i for i, c in enumerate(chunks) if c and not (
+            (c[-1] in _ENDS or c[-1] > "~") and _ODD.match(c[-1]) or (c[0] in _ENDS or c[0] > "~") and _ODD.match(c[0]))]
+        out: list[bytes | None] = [None] * len(chunks)
+        for i, ids in zip(good, self._learn(self._cut([" " + chunks[i] for i in good]))):
+            out[i] = ids
         return out
 
     # -- texts -------------------------------------------------------------
@@ -131,14 +131,8 @@ class CachedEncoder:
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         coded = parts.flatten().dictionary_encode()
-        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks = {}
-        known = self.chunks
-        new = [c for c in chunks if c not in known]
-        if new:
-            known.update(self._chunk_ids(new))
-        ids = list(map(known.__getitem__, chunks))
+        at = coded.indices.to_numpy()
+        ids = self._chunk_ids(coded.dictionary.to_pylist())
         whole = np.empty(0, np.int64)                      # texts to encode by the exact cut
         if not self.word:
             begins = offsets[:-1]

@@ -38,7 +38,6 @@ ODD = ["a", "b", "Z", "é", "É", "é", "'", "'s", "don't", "I'm", "|", " | ", "
 
 @pytest.mark.parametrize("name,mode", [(WORD, "word"), (BYTE, "byte")])
 def test_cached_encoder_equals_the_library(name, mode, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)
     monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
     rnd = random.Random(5)
     texts = ["", " ", "a ", " a", "a  b", "\n", "a\nb", "a \nb", "|"] + [
