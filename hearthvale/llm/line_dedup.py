@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthvale.llm.common import staged
+
 RATIO, MIN_PAGES = 0.2, 5
 
 _BLOCK = r"(?is)<(?:/?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|h[1-6]|table|tr|td)\b[^>]*|!--.*?--)>"
@@ -49,10 +51,13 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     names = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _name))
     counts = (rows.select("host", F.explode(names).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
               .filter(F.col("n") >= min_pages))
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    # Both small results are written: joins with them start from files of known
+    # size, so Spark broadcasts them or splits a large host's partition.
+    totals = staged(rows.groupBy("host").agg(F.count("*").alias("pages")), "host-totals")
     same = counts["host"].eqNullSafe(totals["host"])
-    return (counts.join(totals, same).filter(F.col("n") > F.col("pages") * F.lit(float(ratio)))
-            .groupBy(counts["host"].alias("host")).agg(F.collect_list("line").alias("lines")))
+    found = (counts.join(totals, same).filter(F.col("n") > F.col("pages") * F.lit(float(ratio)))
+             .groupBy(counts["host"].alias("host")).agg(F.collect_list("line").alias("lines")))
+    return staged(found, "boilerplate")
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES,
