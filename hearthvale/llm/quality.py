@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,10 +201,9 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: st
     """``docs`` with the probability of label 1."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            vectors, network = held.value
-            yield pd.Series(network.score(pooled(pa.array(texts, pa.large_string(), from_pandas=True), vectors)))
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        vectors, network = held.value
+        return pa.array(network.score(pooled(texts, vectors)))
 
     return docs.withColumn(score, of(text_of(docs, text_col)))

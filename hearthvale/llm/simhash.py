@@ -28,7 +28,7 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +63,12 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SH
     """``docs`` with its fingerprint as a (signed) long column ``name``."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        out = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-        return pd.Series(out.view(np.int64))
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        # Few texts at a time become Python strings.
+        parts = (t for i in range(0, len(texts), 256) for t in texts.slice(i, 256).to_pylist())
+        out = np.fromiter((fingerprint(t, shingle) for t in parts), np.uint64, len(texts))
+        return pa.array(out.view(np.int64))
 
     return docs.withColumn(name, of(text_of(docs, text_col)))
 

@@ -36,8 +36,8 @@ _ODD = re.compile(f"[{_WIDE}]")
 _ENDS = {chr(c) for c in range(33)}
 _GLUE, _CUT = "\ue000", "\ue001"    # private-use marks between chunks and pieces
 
-CACHE_PIECES = 400_000
-PORTION = 12 << 20   # bytes of text encoded at a time
+CACHE_PIECES = 250_000
+PORTION = 8 << 20    # bytes of text encoded at a time
 
 
 class CachedEncoder:

@@ -278,10 +278,9 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score: st
             p, near = held.value.score(pa.array(texts, pa.large_string(), from_pandas=True))
             yield pd.DataFrame({"score": p, "evidence": near})
 
-    @F.pandas_udf("double")
-    def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(held.value.score(pa.array(texts, pa.large_string(), from_pandas=True), explain=False)[0])
+    @F.arrow_udf("double")
+    def alone(texts: pa.Array) -> pa.Array:
+        return pa.array(held.value.score(texts, explain=False)[0])
 
     if not evidence:
         return docs.withColumn(score, alone(text_of(docs, text_col)))
