@@ -1,13 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
-
-Every 5-word gram of a benchmark item is a possible seed (an item of fewer
-words is one gram). One pass over the documents keeps the words around places
-whose gram passes a fixed-size Bloom filter of the benchmark's grams; exact
-joins follow. Document frequencies of the grams come from all documents, and
-of every ``SPAN`` consecutive grams of an item the rarest becomes a seed, so
-any ``SPAN + 4`` copied words hold one. Each passage and item that share a
-seed are aligned by Smith-Waterman over words (match 2, mismatch and gap -1);
-the score is the share of the item's words matched in the best alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
+
+Every gram of a benchmark item is a seed, whatever its frequency. A copy whose
+changed or dropped words leave it ``min_score`` holds a run of as many item
+words as ``gram_size`` says (4 for items of 16 words or more, 2 to 4 for
+shorter ones), and that is the item's gram length, so each such copy has a
+seed; inserted words can break runs further. One pass over the documents keeps
+the words around places whose gram passes a fixed-size Bloom filter of the
+benchmark's grams; exact joins follow, and pairs of passage and item are made
+distinct. A pair is aligned by Smith-Waterman over words (match 2, mismatch
+and gap -1) unless the passage lacks too many of the item's words for any
+alignment; the score is the share of the item's words matched in the best
+alignment.
 
 Edge cases: null or empty texts match nothing; equal items and repeated rows
 are scored each; null keys are kept; an empty table gives no rows; other
@@ -21,17 +24,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthvale.llm.common import ship, staged, text_of
 from hearthvale.llm.wordhash import grams, word_hashes
 
-GRAM, SPAN, MIN_SCORE = 5, 3, 0.8
+GRAM, MIN_SCORE = 4, 0.8
 BLOOM_BITS = 1 << 24      # 2 MB, whatever the size of the benchmark
 _UNIT = 1 << 24           # alignment score in high digits, matched words in low ones
 
 
+def gram_size(n: int, min_score: float = MIN_SCORE) -> int:
+    """Words in a row that any copy of an ``n``-word item keeps when changed or
+    dropped words leave it ``min_score``; ``GRAM`` at most."""
+    changed = int((1 - min_score) * n + 1e-9)
+    return max(1, min(GRAM, -(-(n - changed) // (changed + 1))))
+
+
 def _places(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u = g.view(np.uint64)
     return (u % np.uint64(BLOOM_BITS)).astype(np.int64), (u >> np.uint64(40)).astype(np.int64)
@@ -52,17 +61,16 @@ def item_words(bench: DataFrame, id_col: str = "item_id", text_col: str = "text"
                   .withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def item_grams(items: DataFrame, k: int = GRAM) -> DataFrame:
-    """``item, off, g`` of every gram."""
+def item_grams(items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``item, g`` of every distinct gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = np.frombuffer(words, np.uint64)
-                g = grams(w, min(k, len(w))) if len(w) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), item, np.int64)),
-                                                  pa.array(np.arange(len(g))), pa.array(g)], names=["item", "off", "g"])
+                g = np.unique(grams(w, gram_size(len(w), min_score)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), item, np.int64)), pa.array(g)], names=["item", "g"])
 
-    return staged(items.select("item", "words").mapInArrow(run, "item long, off long, g long"), "item-grams")
+    return staged(items.select("item", "words").mapInArrow(run, "item long, g long"), "item-grams")
 
 
 def bloom(g: DataFrame) -> np.ndarray:
@@ -142,22 +150,21 @@ def leaks(docs: DataFrame, bench: DataFrame, id_cols: list[str], text: Column, m
     holds a benchmark item; words count from 0."""
     ship(docs.sparkSession)
     items = item_words(bench, item_id, item_text)
-    all_grams = item_grams(items)
+    seeds = item_grams(items, min_score)
     size = items.agg(F.max("n").alias("most")).first()["most"] or 0
-    lengths = sorted({min(GRAM, r["n"]) for r in items.filter("n > 0").select(F.least("n", F.lit(GRAM)).alias("n")).distinct().collect()})
-    places = passages(docs, id_cols, text, bloom(all_grams), lengths or [GRAM], size + size // 4 + GRAM)
+    lengths = sorted({gram_size(r["n"], min_score) for r in items.filter("n > 0").select("n").distinct().collect()})
+    places = passages(docs, id_cols, text, bloom(seeds), lengths or [GRAM], size + size // 4 + GRAM)
 
     hits = places.select("passage", *id_cols, F.explode(F.array_distinct("g")).alias("g"))
-    df = hits.groupBy("g").agg(F.count("*").alias("df"))
-    near = W.partitionBy("item").orderBy("off").rowsBetween(0, SPAN - 1)        # within one item
-    seeds = (all_grams.join(df, "g").withColumn("rare", F.min(F.struct("df", "off", "g")).over(near))
-             .select("item", F.col("rare.g").alias("g")).distinct())
     pairs = hits.select("passage", "g").join(seeds, "g").select("passage", "item").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [align(np.frombuffer(i, np.uint64), np.frombuffer(t, np.uint64))
-                   for i, t in zip(b.column("item_words").to_pylist(), b.column("words").to_pylist())]
+            out = []
+            for i, t in zip(b.column("item_words").to_pylist(), b.column("words").to_pylist()):
+                i, t = np.frombuffer(i, np.uint64), np.frombuffer(t, np.uint64)
+                held = int(np.isin(i, t).sum())                      # no alignment matches more
+                out.append(align(i, t) if held / max(len(i), 1) >= min_score else (0, 0))
             n = np.array([m for m, _ in out], np.float64) / np.maximum(b.column("n").to_numpy(), 1)
             keep = pa.array(n >= min_score)
             end = pa.array(np.array([e for _, e in out], np.int64) + b.column("begin").to_numpy())

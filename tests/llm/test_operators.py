@@ -181,6 +181,26 @@ def test_leaks_exact_and_edited_but_not_clean(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5] and kept.columns == ["doc_id", "text", "item_id"]
 
 
+@pytest.mark.parametrize("n", [5, 10, 15, 30, 40, 60])
+def test_leaks_edited_copies_beside_exact_ones(spark, n):
+    rnd = random.Random(n)
+    new = lambda k: [f"v{rnd.randrange(10 ** 6)}" for _ in range(k)]
+    words, docs, want = new(n), [], set()
+    for step in (5, 6, 7, 8):
+        for first in range(step):
+            edited = ["changed" if i % step == first else w for i, w in enumerate(words)]
+            if sum(a == b for a, b in zip(words, edited)) >= 0.8 * n:
+                want.add(len(docs))
+            docs.append(new(30) + edited + new(30))
+    for _ in range(5):                                 # exact copies, so every gram of the item is frequent
+        want.add(len(docs))
+        docs.append(new(20) + words + new(20))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.leaks(d, b, ["doc_id"], F.col("text")).collect()}
+    assert len(want) > 5 and got >= want               # chance matches of an edge word may add documents
+
+
 def test_alignment_counts_matched_words():
     a, b = np.arange(10, dtype=np.uint64), np.array([90, 0, 1, 2, 91, 4, 5, 6, 7, 92, 8, 9, 93], np.uint64)
     assert decontaminate.align(a, b) == (9, 12)
