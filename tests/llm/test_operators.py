@@ -224,6 +224,22 @@ def test_passages_found_across_documents(spark):
     assert (r.begin, r.end, r.other_begin, r.other_end, r.identity) == (0, 200, 0, 200, 1.0)
 
 
+def test_passages_edited_at_even_steps_and_at_random(spark):
+    rnd = random.Random(7)
+    new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    rows, kinds = [], [6, 8, 10, 12, 17, 0.05, 0.1, 0.15]
+    for kind in kinds:
+        for _ in range(40):
+            words = new(60)
+            hit = set(range(kind // 2, 60, kind)) if kind >= 1 else set(rnd.sample(range(60), int(60 * kind)))
+            rows += [new(40) + words + new(40), new(40) + [f"e{rnd.random()}"[:12].replace(".", "") if i in hit else w for i, w in enumerate(words)] + new(40)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in passages.shared_passages(d).collect()}
+    assert all(a % 2 == 0 and b == a + 1 for a, b in got)
+    for k, kind in enumerate(kinds):
+        assert sum((i, i + 1) in got for i in range(80 * k, 80 * k + 80, 2)) >= 36, kind
+
+
 def test_chains_are_collinear_and_disjoint():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
