@@ -224,6 +224,20 @@ def test_passages_found_across_documents(spark):
     assert (r.begin, r.end, r.other_begin, r.other_end, r.identity) == (0, 200, 0, 200, 1.0)
 
 
+@pytest.mark.parametrize("copies", [1, 12])
+def test_passages_whose_halves_stand_earlier_elsewhere(spark, copies):
+    rnd = random.Random(6)
+    new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    x, y, long = new(30), new(30), new(80)
+    edited = [w if i % 3 else f"e{i}" for i, w in enumerate(long)]      # too far from the original, itself copied
+    texts = [new(9) + x + new(40) for _ in range(copies)] + [new(40) + y + new(9) for _ in range(copies)]
+    texts += [new(50) + x + y + new(20), new(10) + x + y + new(60), new(5) + long, new(30) + edited, edited + new(7)]
+    n = len(texts) - 5
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    pairs = {frozenset((r.doc_id, r.other_id)): (r.end - r.begin, r.identity) for r in got.collect()}
+    assert pairs == {frozenset((n, n + 1)): (60, 1.0), frozenset((n + 3, n + 4)): (80, 1.0)}
+
+
 def test_passages_edited_at_even_steps_and_at_random(spark):
     rnd = random.Random(7)
     new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
