@@ -44,6 +44,25 @@ def test_line_stage_drops_frequent_lines_alone(steps):
         assert kept[r.doc_id].text == want and kept[r.doc_id].n_chars == len(want)
 
 
+def test_line_stage_drops_the_common_line_and_leaves_clean_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, docs, d).collect()}
+    pages, counts = {}, {}
+    rows = docs.collect()
+    for r in rows:
+        pages[r.source] = pages.get(r.source, 0) + 1
+        for line in {x.strip(" ") for x in r.text.split("\n")} - {""}:
+            counts[r.source, line] = counts.get((r.source, line), 0) + 1
+    bad = {k for k, n in counts.items() if n >= 5 and n > corpus_pipeline.LINE_RATIO * pages[k[0]]}
+    changed = 0
+    for r in rows:
+        want = "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in bad)
+        assert kept[r.doc_id].text == want
+        changed += want != r.text
+    assert len(kept) == len(rows) and 100 <= changed <= 0.2 * len(rows)
+
+
 def test_simhash_stage_keeps_the_smallest_of_each_group(steps):
     before, after = steps["simhash near-dedup"]
     rows = sorted(before.collect(), key=lambda r: r.doc_id)
