@@ -57,16 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     file system). Only when nothing is configured (local tests) do we
     create and register a scratch folder of our own.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        d = conf
-    else:
-        d = spark.sparkContext.getCheckpointDir()
-        if not d:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            d = tempfile.mkdtemp(prefix="hearthvale-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", d)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="hearthvale-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -17,9 +17,7 @@ def spark():
 
     s = get_session("local[*]", 8, app_name="hearthvale-tests")
     if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="hv-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hv-test-ckpt-"))
     yield s
     s.stop()
 
