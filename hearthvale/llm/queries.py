@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthvale.llm import decontaminate, licenses, line_dedup, packing, passages, quality, simhash, token_store, topk, toxicity
+from hearthvale.llm import decontaminate, licenses, line_dedup, merkle, packing, passages, quality, simhash, token_store, topk, toxicity
 from hearthvale.llm.common import scratch, table
 
 
@@ -93,6 +93,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents by language; every 7th hash is checked
+    with a tampered row."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    proofs = merkle.manifest(docs, fields, "lang", "doc_id", {"tampered": F.when(_fold("doc_id", 7) == 0, changed)})
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return (proofs.withColumn("folded_root", folded)
+            .select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                    "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_passages": op2_passages,
@@ -104,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op12_merkle": op12_merkle,
 }
 
 _OP8_SQL = """
@@ -135,4 +149,52 @@ SELECT page_id, any_value(u.host) AS host, CAST(count(*) AS INTEGER) AS n_lines,
 FROM u LEFT JOIN b ON b.host = u.host AND b.line = trim(u.line, ' ')
 GROUP BY page_id"""
 
-ORACLE_SQL: dict[str, str] = {"op8_topk": _OP8_SQL, "op9_line_dedup": _OP9_SQL}
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+  lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)))"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+                                   for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_OP12_SQL = f"""
+WITH RECURSIVE
+leaves AS (
+  SELECT row_number() OVER () AS rid, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf_sql("n_chars")} AS leaf,
+         CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS now
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS idx,
+                  count(*) OVER (PARTITION BY g) AS n FROM leaves),
+inner_nodes AS (
+  SELECT 0 AS level, g, n, idx, leaf AS h FROM placed
+  UNION ALL
+  SELECT level + 1, g, (n + 1) // 2, idx // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM inner_nodes WHERE n > 1
+  GROUP BY level, g, n, idx // 2),
+tops AS (SELECT g, level AS depth, h, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM inner_nodes WHERE n = 1),
+outer_nodes AS (
+  SELECT 0 AS level, n, idx, h FROM tops
+  UNION ALL
+  SELECT level + 1, (n + 1) // 2, idx // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM outer_nodes WHERE n > 1
+  GROUP BY level, n, idx // 2),
+steps AS (
+  SELECT p.rid, m.level AS lvl, (p.idx // pow(2, m.level)::BIGINT) % 2 = 1 AS before, coalesce(s.h, '') AS sib
+  FROM placed p JOIN (SELECT DISTINCT g, level FROM inner_nodes WHERE n > 1) m ON m.g = p.g
+  LEFT JOIN inner_nodes s ON s.g = p.g AND s.level = m.level AND s.idx = xor(p.idx // pow(2, m.level)::BIGINT, 1)
+  UNION ALL
+  SELECT p.rid, t.depth + m.level, (t.idx // pow(2, m.level)::BIGINT) % 2 = 1, coalesce(s.h, '')
+  FROM placed p JOIN tops t ON t.g = p.g JOIN (SELECT DISTINCT level FROM outer_nodes WHERE n > 1) m ON true
+  LEFT JOIN outer_nodes s ON s.level = m.level AND s.idx = xor(t.idx // pow(2, m.level)::BIGINT, 1)),
+fold AS (
+  SELECT rid, 0 AS lvl, now FROM placed
+  UNION ALL
+  SELECT f.rid, f.lvl + 1, sha256(CASE WHEN s.before THEN s.sib || f.now ELSE f.now || s.sib END)
+  FROM fold f JOIN steps s ON s.rid = f.rid AND s.lvl = f.lvl),
+proofs AS (SELECT rid, sha256(string_agg(sib, '' ORDER BY lvl)) AS proof_sha256 FROM steps GROUP BY rid)
+SELECT p.doc_id, p.leaf, t.h AS subroot, r.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256,
+       f.now AS folded_root, f.now = r.h AS verified
+FROM placed p JOIN tops t ON t.g = p.g JOIN outer_nodes r ON r.n = 1
+LEFT JOIN proofs q ON q.rid = p.rid JOIN (SELECT rid, arg_max(now, lvl) AS now FROM fold GROUP BY rid) f ON f.rid = p.rid"""
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle": _OP12_SQL, "op8_topk": _OP8_SQL, "op9_line_dedup": _OP9_SQL}
