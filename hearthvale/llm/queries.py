@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthvale.llm import decontaminate, licenses, line_dedup, merkle, packing, passages, quality, simhash, token_store, topk, toxicity
+from hearthvale.llm import decontaminate, licenses, line_dedup, merkle, ngram_lm, packing, passages, quality, simhash, token_store, topk, toxicity, whitening
 from hearthvale.llm.common import scratch, table
 
 
@@ -93,6 +93,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the model of nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_lm.fit(docs, _fold("doc_id", 10) != 0)
+    held_out = F.coalesce(_fold("doc_id", 10) == 0, F.lit(False))
+    return ngram_lm.scores(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out}).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of all documents by language; every 7th hash is checked
     with a tampered row."""
@@ -106,6 +115,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_passages": op2_passages,
@@ -117,7 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_language_model": op11_language_model,
     "op12_merkle": op12_merkle,
+    "op13_whitening": op13_whitening,
 }
 
 _OP8_SQL = """
