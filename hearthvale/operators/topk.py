@@ -1,8 +1,10 @@
-"""Top-1 / arg-max building blocks.
+"""Top-1 / arg-max building blocks.
 
-All of them avoid a window over raw rows partitioned by a possibly hot key:
-the per-group extreme is an aggregate (combined map-side), and the rows are
-recovered with an equi-join on ``(group, value)``. The only broadcasts are
+Ties are kept in one pass: ``rank() <= 1`` becomes a ``WindowGroupLimit`` that
+runs before the shuffle, so a map task sends the rows tied for its best alone
+and the input is evaluated once. Highest and lowest together (no single rank)
+are found per (group, salt) first, so that a group that holds a third of all rows
+is spread over ``SALTS`` tasks, then among what is left. The only broadcasts are
 of one-row results.
 """
 
@@ -10,36 +12,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SALTS = 16
+
 
 def top1_by(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """One row, the first under ``order`` (``TakeOrderedAndProject``)."""
     return df.orderBy(*order).limit(1)
 
 
-def all_ties_max(df: DataFrame, col: str) -> DataFrame:
-    """Rows whose ``col`` equals the global maximum (ties kept).
+def _best(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    turn = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("__rank", F.rank().over(turn)).filter(F.col("__rank") <= 1).drop("__rank")
 
-    The maximum is a one-row aggregate, broadcast; NULLs never qualify.
-    """
-    mx = df.agg(F.max(col).alias("__max"))
-    return (df.join(F.broadcast(mx), F.col(col) == F.col("__max")).drop("__max"))
+
+def all_ties_max(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose ``col`` equals the global maximum (ties kept). NULLs never
+    qualify. Best rows per salt first, so the last step sees few."""
+    rows = df.filter(F.col(col).isNotNull()).withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    best = _best(rows, ["__salt"], F.col(col).desc()).withColumn("__all", F.lit(0))
+    return _best(best, ["__all"], F.col(col).desc()).drop("__salt", "__all")
 
 
 def rank1_per_group(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """``RANK() OVER (PARTITION BY keys ORDER BY col DESC) = 1``.
+    """``RANK() OVER (PARTITION BY keys ORDER BY col DESC) = 1``.
 
     Oracle sorts NULLs first in a descending order, so a group whose values
     include NULL ranks its NULL rows first; otherwise the rows equal to the
-    group maximum win. Both cases come from one aggregate per group.
+    group maximum win.
     """
-    agg = df.groupBy(*keys).agg(F.max(col).alias("__mx"),
-                                F.max(F.col(col).isNull().cast("int")).alias("__has_null"))
-    j = df.join(agg, list(keys))
-    keep = F.when(F.col("__has_null") == 1, F.col(col).isNull()).otherwise(F.col(col) == F.col("__mx"))
-    return j.filter(keep).drop("__mx", "__has_null")
+    return _best(df, keys, F.col(col).desc_nulls_first())
+
+
+def extremes_per_group(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """Rows whose ``col`` is the group's highest or lowest, each once, with
+    ``__high`` and ``__low``. NULLs never qualify."""
+    def cut(rows: DataFrame, by: list[str]) -> DataFrame:
+        group = Window.partitionBy(*by)
+        rows = rows.withColumn("__high", F.max(col).over(group)).withColumn("__low", F.min(col).over(group))
+        return rows.filter((F.col(col) == F.col("__high")) | (F.col(col) == F.col("__low")))
+
+    rows = df.filter(F.col(col).isNotNull()).withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    some = cut(rows, [*keys, "__salt"]).drop("__high", "__low", "__salt")
+    return cut(some, list(keys))
 
 
 def best_row_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[Column, bool, bool]],

@@ -37,8 +37,8 @@ def top_spender_per_event(d, by_person: bool = False) -> DataFrame:
     ``by_person`` tells people apart by their own id, as the report means to;
     without it the query is reproduced as written: spends are
     grouped per festivity id and name and the festivity id (exposed as
-    ``id_person``) is matched to the event id. The rank is one aggregate per event joined back (no window over the
-    per-person rows, which would put all of an event's people in one task).
+    ``id_person``) is matched to the event id. Ranks are
+    cut before the shuffle to the people tied for a task's highest spend.
     """
     # spends are summed per (festival, person) before the name join, then per
     # (festival, name) as the reference groups (same-named people merge)

@@ -31,7 +31,7 @@ def max_gold_farms(d, quality: str = "Gold") -> DataFrame:
     """farms growing the most crops of one quality (ties kept).
 
     The reference evaluates the five-table chain twice; here once, and the
-    maximum is a one-row aggregate over the per-farm counts.
+    farms of the highest count are those of rank 1.
     """
     crop = d.crop.filter(F.col("quality") == quality).select("id_crop")
     # counted per field first, so the field and building joins see one row

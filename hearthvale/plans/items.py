@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthvale.functions.scalar import round2, safe_div, trunc_day
 from hearthvale.operators.pairs import closest_pair_sums
-from hearthvale.operators.topk import top1_by
+from hearthvale.operators.topk import extremes_per_group, rank1_per_group, top1_by
 
 
 def _pct_difference() -> F.Column:
@@ -73,15 +73,14 @@ def best_item_by_shop(d, action: str = "BUY") -> DataFrame:
 def last_purchase_of_day(d, month: int = 12, ledger: DataFrame | None = None) -> DataFrame:
     """BUY rows of one month made at the last BUY time of their day.
 
-    Correlated ``MAX`` per day becomes a per-day aggregate (map-side
-    combined, one row per day) joined back on ``(day, time)`` — no window
-    over the raw rows, so a busy day is not one task.
+    Correlated ``MAX`` per day becomes rank 1 within the day, cut down before
+    the shuffle to the rows tied for a task's last time of each day; the ledger
+    is read once.
     """
     ledger = d.buy_sell if ledger is None else ledger
     buys = (ledger.filter((F.col("action") == "BUY") & (F.month("action_time") == month))
             .withColumn("day", trunc_day(F.col("action_time"))))
-    last = buys.groupBy("day").agg(F.max("action_time").alias("action_time"))
-    sel = buys.join(last, ["day", "action_time"])
+    sel = rank1_per_group(buys, ["day"], "action_time")
     j = (sel.join(d.shop.select("id_shop", "name_shop", "specialization"), "id_shop")
             .join(d.player.select("id_player", "nickname"), "id_player")
             .join(d.item.select("id_item", "name"), "id_item"))
@@ -120,13 +119,12 @@ def busy_locations(d, threshold: float = 200) -> DataFrame:
 def sale_price_extremes(d) -> DataFrame:
     """SELL rows whose unit price is the item's highest or lowest.
 
-    Both correlated scalars come from one aggregate per item (max and min
-    together), joined back on the item; a row matching both appears once.
+    Both correlated scalars come from one reading of the ledger, per (item,
+    salt) first; a row matching both appears once.
     """
     sells = (d.buy_sell.filter((F.col("action") == "SELL") & (F.col("amount") > 0))
              .withColumn("unit", F.abs("money_fluctuation") / F.col("amount")))
-    ext = sells.groupBy("id_item").agg(F.max("unit").alias("hi"), F.min("unit").alias("lo"))
-    sel = sells.join(ext, "id_item").filter((F.col("unit") == F.col("hi")) | (F.col("unit") == F.col("lo")))
+    sel = extremes_per_group(sells, ["id_item"], "unit")
     j = (sel.join(d.item.select("id_item", "name", "price_to_sell"), "id_item")
             .join(d.shop.select("id_shop", "name_shop"), "id_shop")
             .join(d.player.select("id_player", "nickname"), "id_player"))

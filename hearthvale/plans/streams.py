@@ -1,14 +1,21 @@
 """Entries for the event-driven operators T1–T4 over the supplied tables.
 
-Each derives a starting snapshot and a batch of events from the test
-tables and runs the same ``apply_*`` fold a micro-batch runs.
+Each derives a starting snapshot and a batch of events from the test tables.
+The plain entries run the ``apply_*`` fold over the whole batch. The entries
+``*_state`` run the streaming job: the events arrive in ``SLICES`` lots, and the
+job is started anew from its checkpoint for each of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthvale.session import fresh_folder, staged
+from hearthvale.streaming import jobs, keyed_state
+
 from hearthvale.streaming.triggers import (
     apply_affection_boost,
     apply_barn_admission,
@@ -20,6 +27,8 @@ from hearthvale.streaming.triggers import (
 NULL_AMOUNT_EVERY = 101   # odd orders whose amounts arrive NULL (key % 101 == 1)
 UNKNOWN_BARN_EVERY = 97   # arrivals addressed to a barn that does not exist
 
+SLICES = 2                # lots in which the events reach a streaming job
+
 
 def purchase_inputs(d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Even orders make the starting stock; odd orders' lines are the new
@@ -94,3 +103,71 @@ def stream_affection_boost(d) -> DataFrame:
 def stream_donation_reward(d) -> DataFrame:
     """T4: player stock after a batch of donations (new ones earn item 9999)."""
     return apply_donation_reward(d.donation, d.p_stored)
+
+
+# ---------------------------------------------------------------- the same on keyed state
+def _in_lots(events: DataFrame, lot: F.Column, folder: str, drain: Callable[[], object]) -> None:
+    """Events of lot 0, 1, .. land in ``folder``, each drained by a fresh start."""
+    events = staged(events.withColumn("__lot", lot), "stream-events")
+    for i in range(SLICES):
+        events.filter(F.col("__lot") == i).drop("__lot").write.mode("append").parquet(folder)
+        drain()
+
+
+def _any_lot(*cols: str) -> F.Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(SLICES))
+
+
+def stream_purchase_stock_state(d) -> DataFrame:
+    """T1 + M9 by a streaming job with a total per (table, owner, item)."""
+    spark, root = d.spark, fresh_folder(d.spark, "stream-stock")
+    batch, s0, p0 = purchase_inputs(d)
+    events = batch.select("id_shop", "id_player", "id_item", F.lit(None).cast("timestamp_ntz").alias("action_time"), "action",
+                          F.lit(None).cast("decimal(18,2)").alias("money_fluctuation"), "amount")
+    s0, p0 = staged(s0, "stream-start"), staged(p0, "stream-start")
+    _in_lots(events, _any_lot("id_shop", "id_item", "id_player"), f"{root}/new",
+             lambda: jobs.purchase_stock(spark, f"{root}/new", s0, p0, root))
+    return jobs.stock(spark, root)
+
+
+def stream_donation_reward_state(d) -> DataFrame:
+    """T4 by a streaming job with a total per (player, item)."""
+    spark, root = d.spark, fresh_folder(d.spark, "stream-reward")
+    start = staged(d.p_stored, "stream-start")
+    _in_lots(d.donation.select("id_donatable", "id_museum", "id_player", "condition_object"), _any_lot("id_player", "id_donatable"),
+             f"{root}/new", lambda: jobs.donation_reward(spark, f"{root}/new", start, root))
+    return jobs.player_stock(spark, root)
+
+
+def stream_affection_boost_state(d) -> DataFrame:
+    """T3 by a streaming job with a total per relationship."""
+    spark, root = d.spark, fresh_folder(d.spark, "stream-affection")
+    edges = staged(d.relationship.select("id_character1", "id_character2", "affection_level"), "stream-start")
+    _in_lots(personality_changes(d), _any_lot("id_inhabitant"), f"{root}/new",
+             lambda: jobs.affection_boost(spark, f"{root}/new", edges, root))
+    return jobs.affection(spark, root)
+
+
+def _barn_run(d) -> str:
+    spark, root = d.spark, fresh_folder(d.spark, "stream-barn")
+    arrivals, start = arrival_inputs(d), staged(d.barn.select("id_barn", "max_capacity", "occupied_spots"), "stream-start")
+    bounds = arrivals.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    low, high = (bounds[0] or 0, bounds[1] or 0)
+    lot = F.least(F.lit(SLICES - 1), F.floor((F.col("arrival_seq") - low) * SLICES / F.lit(high - low + 1))).cast("int")
+    _in_lots(arrivals, lot, f"{root}/new", lambda: jobs.barn_admission(spark, f"{root}/new", start, root))
+    return root
+
+
+def stream_barn_admission_state(d) -> DataFrame:
+    """T2 by a streaming job with a state per barn: every decision."""
+    return keyed_state.decisions(d.spark, _barn_run(d)).select("id_animal", "id_barn", "admitted")
+
+
+def stream_barn_rejects_state(d) -> DataFrame:
+    """T2 by a streaming job: what it turned away, its second output."""
+    return keyed_state.decisions(d.spark, _barn_run(d), admitted=False).select("id_animal", "id_barn", "arrival_seq")
+
+
+def stream_barn_occupancy_state(d) -> DataFrame:
+    """T2 by a streaming job: the barns in its state."""
+    return keyed_state.barns(d.spark, _barn_run(d)).select("id_barn", "max_capacity", "occupied_spots")

@@ -18,10 +18,12 @@ from hearthvale.oracle import events as oe
 from hearthvale.oracle import farm as of
 from hearthvale.oracle import items as oi
 from hearthvale.oracle import loads as ol
+from hearthvale.oracle import maintenance as om
 from hearthvale.oracle import streams as os_
 from hearthvale.oracle import village as ov
 from hearthvale.oracle.bridge import with_bridge
-from hearthvale.plans import audit, etl, events, farm, items, loads, streams, village
+from hearthvale.oracle.load_groups import group_sql
+from hearthvale.plans import audit, etl, events, farm, items, loads, maintenance, streams, village
 from hearthvale.sources.bridge import Domain
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], "str | None"]
@@ -112,12 +114,30 @@ def entries() -> dict[str, Entry]:
         "stream_barn_occupancy": (_q(streams.stream_barn_occupancy), with_bridge(os_.BARN_OCCUPANCY)),
         "stream_affection_boost": (_q(streams.stream_affection_boost), with_bridge(os_.AFFECTION_BOOST)),
         "stream_donation_reward": (_q(streams.stream_donation_reward), with_bridge(os_.DONATION_REWARD)),
+        # ---- the same events through streaming jobs on keyed state
+        "stream_purchase_stock_state": (_q(streams.stream_purchase_stock_state), with_bridge(os_.PURCHASE_STOCK)),
+        "stream_barn_admission_state": (_q(streams.stream_barn_admission_state), with_bridge(os_.BARN_ADMISSION)),
+        "stream_barn_rejects_state": (_q(streams.stream_barn_rejects_state), with_bridge(os_.BARN_REJECTS)),
+        "stream_barn_occupancy_state": (_q(streams.stream_barn_occupancy_state), with_bridge(os_.BARN_OCCUPANCY)),
+        "stream_affection_boost_state": (_q(streams.stream_affection_boost_state), with_bridge(os_.AFFECTION_BOOST)),
+        "stream_donation_reward_state": (_q(streams.stream_donation_reward_state), with_bridge(os_.DONATION_REWARD)),
         # ---- constraint audit
         "audit_constraints": (_q(audit.audit_constraints), with_bridge(oa.audit_sql())),
+        # ---- table maintenance: these write tables while they run
+        "ingest_extract": (_q(maintenance.ingest_extract), om.INGEST_EXTRACT),
+        "etl_personality_feed": (_q(maintenance.etl_personality_feed), om.PERSONALITY_FEED),
+        "etl_fill_missing_keyed": (_q(maintenance.etl_fill_missing_keyed), with_bridge(ot.FILL_MISSING)),
+        "etl_lasting_ids": (_q(maintenance.etl_lasting_ids), om.LASTING_IDS),
+        "etl_cascade_graph": (_q(maintenance.etl_cascade_graph), with_bridge(om.CASCADE_GRAPH)),
+        "etl_participate_factors": (_q(maintenance.etl_participate_factors), om.PARTICIPATE),
+        "audit_on_write": (_q(maintenance.audit_on_write), with_bridge(oa.audit_sql())),
+        "etl_load_audit": (_q(maintenance.etl_load_audit), None),
         # ---- the whole normalising load (54 loads + 1 update); rows-only check
         "etl_load_items": (_q(loads.load_group, group="items"), ol.ITEMS),
         "etl_load_people": (_q(loads.load_group, group="people"), ol.PEOPLE),
         "etl_load_farms": (_q(loads.load_group, group="farms"), ol.FARMS),
+        **{f"etl_load_{g}": (_q(loads.load_group, group=g), group_sql(g))
+           for g in ("places", "trade", "schedules", "animals", "social", "festivals", "museum")},
         "etl_full_load": (_q(loads.full_load_counts), None),
     }
     return reg

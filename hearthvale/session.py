@@ -7,9 +7,11 @@ Library code never creates a session of its own; it takes the caller's.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale. Shuffle partitions are sized by the caller
 # (cluster: ~2-3x total cores, or let AQE coalesce from a high starting value).
@@ -65,3 +67,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what follows starts
+    from files, so a lost executor does not replay the work before them and
+    several readers do not repeat it."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers (``addPyFile``, once per
+    application), for sessions started without it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        home = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="hearthvale-code-"), "hearthvale"), "zip",
+                                      os.path.dirname(home), os.path.basename(home))
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)

@@ -1,127 +1,75 @@
-"""The four trigger jobs wired as Structured Streaming queries.
+"""The four triggers as Structured Streaming jobs over a folder of new rows.
 
-Each job names the snapshots it maintains, the schema of the rows that
-arrive (new BUY_SELL rows, new ANIMAL rows, INHABITANT personality changes,
-new DONATION rows) and the fold. ``start_job`` drains a file-source
-directory with ``availableNow`` (or keeps running with a processing-time
-trigger) and publishes new snapshot versions per micro-batch, exactly once.
+Each call drains the files that have arrived since the last one with the same
+``root`` (``availableNow``, at most ``files_per_batch`` files a micro-batch) and
+returns; called on a schedule, or after a crash, it goes on from the checkpoint
+under ``root``. The starting tables are read by the first batch alone.
 
-    store = SnapshotStore(spark)                 # under spark.checkpoint.dir
-    store.init({"S_STORED": s0, "P_STORED": p0})
-    start_job(spark, PURCHASE_STOCK, "/landing/buy_sell", store)
+    purchase_stock(spark, "/landing/buy_sell", s_stored, p_stored, "/state/stock")
+    stock(spark, "/state/stock")                 # both tables as of the last batch
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import partial
-from typing import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from hearthvale.streaming.runner import Changes, SnapshotStore, make_batch_fn
-from hearthvale.streaming.triggers import (
-    REWARD_ITEM,
-    apply_affection_boost,
-    apply_barn_admission,
-    apply_donation_reward,
-    apply_purchase_stock,
-)
-
-Restrict = Callable[[DataFrame, DataFrame], DataFrame]
-
-
-@dataclass(frozen=True)
-class Job:
-    """``restrict``: per snapshot, the rows a batch needs (by key columns)."""
-
-    name: str
-    tables: tuple[str, ...]
-    schema: T.StructType
-    apply: Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame | Changes]]
-    keys: dict[str, list[str]]
-    restrict: dict[str, Restrict] = field(default_factory=dict)
-
-
-def _by(*cols: str, where: str = "true") -> Restrict:
-    """Snapshot rows whose key columns occur in the batch's rows that count."""
-    return lambda rows, batch: rows.join(batch.filter(where).select(*cols).distinct(), list(cols), "left_semi")
-
-
-def _reward_rows(rows: DataFrame, batch: DataFrame) -> DataFrame:
-    return _by("id_player")(rows.filter(F.col("id_item") == REWARD_ITEM), batch)
-
-
-def _either_end(rows: DataFrame, batch: DataFrame) -> DataFrame:
-    ids = batch.select("id_inhabitant").distinct()
-    one = ids.select(F.col("id_inhabitant").alias("id_character1"), F.lit(True).alias("__one"))
-    two = ids.select(F.col("id_inhabitant").alias("id_character2"), F.lit(True).alias("__two"))
-    hit = rows.join(one, "id_character1", "left").join(two, "id_character2", "left")
-    return hit.filter("__one OR __two").select(*rows.columns)
-
-
-# A batch sees the snapshot rows of its own keys only, so what a fold returns
-# is what the batch changed.
-
-def _purchase(batch, s):
-    s1, p1 = apply_purchase_stock(batch, s["S_STORED"], s["P_STORED"])
-    return {"S_STORED": Changes(s1), "P_STORED": Changes(p1)}
-
-
-def _barn(batch, s, mode="per_row"):
-    decisions, barn = apply_barn_admission(batch, s["BARN"], mode)
-    admitted = decisions.filter("admitted").select(*s["ANIMAL"].columns)
-    rejected = decisions.filter("NOT admitted").drop("admitted").withColumn("rule", F.lit("barn_full_or_unknown"))
-    return {"BARN": Changes(barn), "ANIMAL": Changes(admitted), "ANIMAL_REJECTED": Changes(rejected)}
-
-
-def _affection(batch, s):
-    return {"RELATIONSHIP": Changes(apply_affection_boost(batch, s["RELATIONSHIP"]))}
-
-
-def _reward(batch, s):
-    return {"P_STORED": Changes(apply_donation_reward(batch, s["P_STORED"]))}
-
-
-PURCHASE_STOCK = Job("purchase_stock", ("S_STORED", "P_STORED"), T.StructType.fromDDL(
-    "id_shop bigint, id_player bigint, id_item bigint, action_time timestamp_ntz, action string, "
-    "money_fluctuation decimal(18,2), amount bigint"), _purchase,
-    {"S_STORED": ["id_shop", "id_item"], "P_STORED": ["id_player", "id_item"]},
-    {"S_STORED": _by("id_shop", "id_item", where="action = 'BUY'"),
-     "P_STORED": _by("id_player", "id_item", where="action = 'BUY'")})
-_ARRIVALS = T.StructType.fromDDL(
-    "id_animal bigint, name_animal string, age bigint, id_animal_specie bigint, health string, "
-    "id_barn bigint, quantity bigint, arrival_seq bigint")
-_BARN_KEYS = {"BARN": ["id_barn"], "ANIMAL": ["id_animal"], "ANIMAL_REJECTED": ["id_animal", "arrival_seq"]}
-_BARN_ROWS = {"BARN": _by("id_barn"), "ANIMAL": _by("id_animal")}
-# Rejected arrivals go to ANIMAL_REJECTED with the rule they failed.
-BARN_ADMISSION = Job("barn_admission", ("BARN", "ANIMAL"), _ARRIVALS, _barn, _BARN_KEYS, _BARN_ROWS)
-# One rejection turns the whole batch away, as a failing statement would.
-BARN_ADMISSION_ALL = Job("barn_admission_all", ("BARN", "ANIMAL"), _ARRIVALS,
-                         partial(_barn, mode="all_or_nothing"), _BARN_KEYS, _BARN_ROWS)
-AFFECTION_BOOST = Job("affection_boost", ("RELATIONSHIP",), T.StructType.fromDDL(
-    "id_inhabitant bigint, old_personality string, new_personality string"), _affection,
-    {"RELATIONSHIP": ["id_character1", "id_character2"]}, {"RELATIONSHIP": _either_end})
-DONATION_REWARD = Job("donation_reward", ("P_STORED",), T.StructType.fromDDL(
-    "id_donatable bigint, id_museum bigint, id_player bigint, condition_object string"), _reward,
-    {"P_STORED": ["id_player", "id_item"]}, {"P_STORED": _reward_rows})
-
-
-def start_job(spark: SparkSession, job: Job, source_dir: str, store: SnapshotStore,
-              available_now: bool = True, processing_time: str = "1 minute",
-              max_files_per_trigger: int | None = None):
-    """Start (and, with ``available_now``, drain and stop) one trigger job."""
-    store.keys.update(job.keys)
-    reader = spark.readStream.schema(job.schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    w = (reader.parquet(source_dir).writeStream
-         .foreachBatch(make_batch_fn(store, list(job.tables), job.apply, job.name, job.restrict))
-         .option("checkpointLocation", f"{store.root}/_stream_checkpoint_{job.name}"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
-    q = w.start()
-    if available_now:
-        q.awaitTermination()
-    return q
+
+from hearthvale.streaming import keyed_state
+from hearthvale.streaming.triggers import REWARD_ITEM
+
+# Columns of the rows that arrive.
+TRADES = ("id_shop bigint, id_player bigint, id_item bigint, action_time timestamp_ntz, action string, "
+          "money_fluctuation decimal(18,2), amount bigint")
+ARRIVALS = "id_animal bigint, id_barn bigint, arrival_seq bigint"
+FEED = "id_inhabitant bigint, old_personality string, new_personality string"
+DONATIONS = "id_donatable bigint, id_museum bigint, id_player bigint, condition_object string"
+
+STOCK = ["tbl", "id_owner", "id_item"]
+EDGE = ["id_character1", "id_character2"]
+
+
+def _arriving(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
+
+
+def _stock_of(table: str, df: DataFrame, owner: str) -> DataFrame:
+    return df.select(F.lit(table).alias("tbl"), F.col(owner).alias("id_owner"), "id_item", F.col("quantity").alias("amount"))
+
+
+def purchase_stock(spark: SparkSession, folder: str, s_stored: DataFrame, p_stored: DataFrame, root: str,
+                   files_per_batch: int | None = None):
+    """The stock of shops and players after the trades in ``folder``."""
+    start = _stock_of("S_STORED", s_stored, "id_shop").unionByName(_stock_of("P_STORED", p_stored, "id_player"))
+    changes = keyed_state.purchase_changes(_arriving(spark, folder, TRADES, files_per_batch))
+    return keyed_state.keep_totals(changes, STOCK, start, root)
+
+
+def stock(spark: SparkSession, root: str) -> DataFrame:
+    return keyed_state.totals(spark, root).select(*STOCK, F.col("amount").alias("quantity"))
+
+
+def donation_reward(spark: SparkSession, folder: str, p_stored: DataFrame, root: str, files_per_batch: int | None = None,
+                    item: int = REWARD_ITEM):
+    """T4: the players' stock after the donations in ``folder``."""
+    changes = keyed_state.reward_changes(_arriving(spark, folder, DONATIONS, files_per_batch), item)
+    return keyed_state.keep_totals(changes, ["id_player", "id_item"], p_stored.withColumnRenamed("quantity", "amount"), root)
+
+
+def player_stock(spark: SparkSession, root: str) -> DataFrame:
+    return keyed_state.totals(spark, root).withColumnRenamed("amount", "quantity")
+
+
+def affection_boost(spark: SparkSession, folder: str, relationship: DataFrame, root: str, files_per_batch: int | None = None):
+    """Affection levels after the personality changes in ``folder``."""
+    changes = keyed_state.affection_changes(_arriving(spark, folder, FEED, files_per_batch), relationship.select(*EDGE))
+    return keyed_state.keep_totals(changes, EDGE, relationship.select(*EDGE, F.col("affection_level").alias("amount")), root)
+
+
+def affection(spark: SparkSession, root: str) -> DataFrame:
+    return keyed_state.totals(spark, root).withColumnRenamed("amount", "affection_level")
+
+
+def barn_admission(spark: SparkSession, folder: str, barn: DataFrame, root: str, files_per_batch: int | None = None):
+    """Decisions on the animals that arrive in ``folder``."""
+    return keyed_state.admit(_arriving(spark, folder, ARRIVALS, files_per_batch), barn, root)

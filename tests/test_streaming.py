@@ -1,16 +1,15 @@
-"""T1–T4 folds on hand fixtures, fold laws, and the micro-batch runner
-(file source, availableNow, replay protection)."""
+"""T1–T4 folds on hand fixtures, fold laws, and the streaming jobs on keyed
+state: any split into batches, restarts, replays."""
 
 from __future__ import annotations
 
-import pytest
-
 import os
+import random
 
+import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
-from hearthvale.streaming.runner import SnapshotStore, make_batch_fn, run_available
+from hearthvale.streaming import jobs, keyed_state
 from hearthvale.streaming.triggers import (
     admission_decisions,
     apply_affection_boost,
@@ -87,118 +86,6 @@ def test_donation_reward_case_insensitive(spark):
     assert rows(apply_donation_reward(don, p0)) == [(1, 5, 1), (1, 9999, 5), (2, 9999, 1)]
 
 
-def test_runner_replay_and_file_stream(spark, tmpdir_run):
-    store = SnapshotStore(spark, os.path.join(tmpdir_run, "snap"))
-    store.init({"S_STORED": spark.createDataFrame([(1, 10, 50)], S),
-                "P_STORED": spark.createDataFrame([], P)})
-
-    def apply(batch, snaps):
-        s1, p1 = apply_purchase_stock(batch, snaps["S_STORED"], snaps["P_STORED"])
-        return {"S_STORED": s1, "P_STORED": p1}
-
-    fn = make_batch_fn(store, ["S_STORED", "P_STORED"], apply)
-    b0 = spark.createDataFrame([(1, 7, 10, "BUY", 5)], BATCH)
-    fn(b0, 0)
-    fn(b0, 0)  # replayed epoch: no effect
-    assert rows(store.read("S_STORED")) == [(1, 10, 45)]
-
-
-    # a file-source stream drained in several micro-batches, then re-run:
-    # the second run finds nothing new and the snapshots do not move
-    stream_store = SnapshotStore(spark, os.path.join(tmpdir_run, "snap2"))
-    stream_store.init({"S_STORED": spark.createDataFrame([(1, 10, 50)], S),
-                       "P_STORED": spark.createDataFrame([], P)})
-    src = os.path.join(tmpdir_run, "src")
-    for i in range(3):
-        spark.createDataFrame([(1, 7, 10, "BUY", i + 1)], BATCH).coalesce(1).write.mode("append").parquet(src)
-    for _ in range(2):
-        run_available(spark, src, b0.schema, stream_store, ["S_STORED", "P_STORED"], apply,
-                      checkpoint=os.path.join(tmpdir_run, "chk"), max_files_per_trigger=1)
-    assert rows(stream_store.read("S_STORED")) == [(1, 10, 50 - 1 - 2 - 3)]
-    assert rows(stream_store.read("P_STORED")) == [(7, 10, 1 + 2 + 3)]
-    assert stream_store.last_batch() == 2
-    assert F is not None
-
-
-def test_barn_job_over_file_stream(spark, tmpdir_run):
-    from hearthvale.streaming.jobs import BARN_ADMISSION, start_job
-    from pyspark.sql import types as T
-
-    store = SnapshotStore(spark, os.path.join(tmpdir_run, "barn"))
-    animal_cols = [f for f in BARN_ADMISSION.schema.fields if f.name != "arrival_seq"]
-    store.init({"BARN": spark.createDataFrame([(1, 2, 0), (2, None, 0)], BARN),
-                "ANIMAL": spark.createDataFrame([], T.StructType(animal_cols))})
-    src = os.path.join(tmpdir_run, "arrivals")
-    batches = [[(10, "a", 1, 1, "Healthy", 1, 1, 1), (11, "b", 1, 1, "Healthy", 2, 1, 2)],
-               [(12, "c", 1, 1, "Healthy", 1, 1, 3), (13, "d", 1, 1, "Healthy", 1, 1, 4)]]
-    for rows_ in batches:
-        spark.createDataFrame(rows_, BARN_ADMISSION.schema).coalesce(1).write.mode("append").parquet(src)
-    start_job(spark, BARN_ADMISSION, src, store, max_files_per_trigger=1)
-    # barn 1 holds 2: animals 10 and 12 get in (one per batch), 13 is turned away
-    assert sorted(r.id_animal for r in store.read("ANIMAL").collect()) == [10, 11, 12]
-    assert [(r.id_animal, r.rule) for r in store.read("ANIMAL_REJECTED").collect()] == [(13, "barn_full_or_unknown")]
-    # NULL capacity never rejects, and its occupancy still counts the arrival
-    assert rows(store.read("BARN")) == [(1, 2, 2), (2, None, 1)]
-
-
-def test_purchase_job_writes_only_touched_rows(spark, tmpdir_run):
-    from hearthvale.streaming.jobs import PURCHASE_STOCK, start_job
-
-    store = SnapshotStore(spark, os.path.join(tmpdir_run, "stock"))
-    s0 = spark.createDataFrame([(1, i, 100) for i in range(50)], S)
-    store.init({"S_STORED": s0, "P_STORED": spark.createDataFrame([(7, 1, 1)], P)})
-    src = os.path.join(tmpdir_run, "buys")
-    import datetime as dt
-    from decimal import Decimal
-    t = dt.datetime(2024, 1, 1)
-    evs = [[(1, 7, 1, t, "BUY", Decimal("-1.00"), 2), (1, 8, 2, t, "BUY", Decimal("-1.00"), 3)],
-           [(1, 7, 1, t, "BUY", Decimal("-1.00"), 4), (1, 7, 3, t, "SELL", Decimal("1.00"), 9)]]
-    for rows_ in evs:
-        spark.createDataFrame(rows_, PURCHASE_STOCK.schema).coalesce(1).write.mode("append").parquet(src)
-    start_job(spark, PURCHASE_STOCK, src, store, max_files_per_trigger=1)
-    s = {(r.id_shop, r.id_item): r.quantity for r in store.read("S_STORED").collect()}
-    assert len(s) == 50 and s[(1, 1)] == 94 and s[(1, 2)] == 97 and s[(1, 3)] == 100
-    assert rows(store.read("P_STORED")) == [(7, 1, 7), (8, 2, 3)]
-    # each batch wrote only the shop rows it touched, not the 50-row table
-    last = store.version("S_STORED")
-    assert spark.read.parquet(store.path("S_STORED", last)).count() == 1
-    store.compact("S_STORED")
-    assert {(r.id_shop, r.id_item): r.quantity for r in store.read("S_STORED").collect()} == s
-
-
-def test_two_jobs_share_a_store(spark, tmpdir_run):
-    import datetime as dt
-    from decimal import Decimal
-
-    from hearthvale.streaming.jobs import DONATION_REWARD, PURCHASE_STOCK, start_job
-
-    store = SnapshotStore(spark, os.path.join(tmpdir_run, "shared"))
-    store.init({"S_STORED": spark.createDataFrame([(1, 1, 10)], S), "P_STORED": spark.createDataFrame([(7, 1, 1)], P)})
-    buys, gifts = os.path.join(tmpdir_run, "buys"), os.path.join(tmpdir_run, "gifts")
-    t = dt.datetime(2024, 1, 1)
-    for n in (2, 3):
-        spark.createDataFrame([(1, 7, 1, t, "BUY", Decimal("-1.00"), n)], PURCHASE_STOCK.schema).coalesce(1).write.mode("append").parquet(buys)
-    spark.createDataFrame([(5, 1, 7, "New")], DONATION_REWARD.schema).coalesce(1).write.mode("append").parquet(gifts)
-    start_job(spark, PURCHASE_STOCK, buys, store, max_files_per_trigger=1)
-    start_job(spark, DONATION_REWARD, gifts, store)
-    assert rows(store.read("P_STORED")) == [(7, 1, 6), (7, 9999, 1)]
-    assert (store.last_batch("purchase_stock"), store.last_batch("donation_reward")) == (1, 0)
-
-
-def test_log_errors_are_not_taken_for_an_empty_log(spark, tmpdir_run, monkeypatch):
-    from pyspark.errors import AnalysisException
-
-    store = SnapshotStore(spark, os.path.join(tmpdir_run, "broken"))
-    assert store.last_batch("x") == -1
-    store.init({"S_STORED": spark.createDataFrame([(1, 1, 10)], S)})
-    bad = os.path.join(store._log, "part-bad.parquet")
-    with open(bad, "wb") as f:
-        f.write(b"no parquet")
-    with pytest.raises(Exception) as e:
-        store.version("S_STORED")
-    assert not (isinstance(e.value, AnalysisException) and e.value.getCondition() == "PATH_NOT_FOUND")
-
-
 def test_repeated_animal_ids_stay_single_rows(spark):
     barn = spark.createDataFrame([(1, 2, 0)], BARN)
     arr = spark.createDataFrame([(100, 1, 1), (100, 1, 2), (100, 1, 3), (None, 1, 4)], ARR)
@@ -206,21 +93,98 @@ def test_repeated_animal_ids_stay_single_rows(spark):
     assert got == [(1, True), (2, True), (3, False), (4, False)]
 
 
-def test_all_or_nothing_job_and_compaction(spark, tmpdir_run, monkeypatch):
-    from pyspark.sql import types as T
-
-    from hearthvale.streaming import runner
-    from hearthvale.streaming.jobs import BARN_ADMISSION_ALL, start_job
-
-    monkeypatch.setattr(runner, "COMPACT_AFTER", 2)
-    store = SnapshotStore(spark, os.path.join(tmpdir_run, "all"))
-    cols = [f for f in BARN_ADMISSION_ALL.schema.fields if f.name != "arrival_seq"]
-    store.init({"BARN": spark.createDataFrame([(1, 2, 0)], BARN), "ANIMAL": spark.createDataFrame([], T.StructType(cols))})
-    src = os.path.join(tmpdir_run, "arrivals")
-    for batch in ([(10, 1)], [(11, 1), (12, 1)], [(13, 1)]):
-        full = [(i, "a", 1, 1, "Healthy", b, 1, i) for i, b in batch]
-        spark.createDataFrame(full, BARN_ADMISSION_ALL.schema).coalesce(1).write.mode("append").parquet(src)
-    start_job(spark, BARN_ADMISSION_ALL, src, store, max_files_per_trigger=1)
-    assert sorted(r.id_animal for r in store.read("ANIMAL").collect()) == [10, 13]
-    assert sorted(r.id_animal for r in store.read("ANIMAL_REJECTED").collect()) == [11, 12]
-    assert rows(store.read("BARN")) == [(1, 2, 2)] and store._base("BARN") > 0
+# ---------------------------------------------------------------- jobs on keyed state
+def land(spark, folder, data, schema):
+    """One file, so one micro-batch where batches take one file each."""
+    spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def trade(shop, player, item, amount, action="BUY"):
+    return (shop, player, item, None, action, None, amount)
+
+
+@pytest.mark.parametrize("lots,files", [(1, None), (3, None), (2, 1)])
+def test_stock_job_equals_the_fold_for_any_split(spark, tmpdir_run, lots, files):
+    rnd = random.Random(lots)
+    s0 = spark.createDataFrame([(i % 4, i, 100) for i in range(8)] + [(9, 1, None)], S)
+    p0 = spark.createDataFrame([(7, 1, 5), (7, 2, None)], P)
+    events = [trade(rnd.choice([0, 1, 2, 3, 9]), rnd.choice([7, 8]), rnd.randint(0, 8), rnd.choice([1, 2, 3, 4]),
+                    rnd.choice(["BUY", "BUY", "SELL"])) for _ in range(200)]
+    events += [trade(1, 8, 1, None), trade(None, None, 1, 2), trade(0, 7, 0, 3)]
+    folder, root = os.path.join(tmpdir_run, "new"), os.path.join(tmpdir_run, "root")
+    for i in range(lots):                                    # every call starts a new query from the checkpoint
+        for part in (events[i::lots][:30], events[i::lots][30:]):
+            if part:
+                land(spark, folder, part, jobs.TRADES)
+        jobs.purchase_stock(spark, folder, s0, p0, root, files)
+    s1, p1 = apply_purchase_stock(spark.createDataFrame(events, jobs.TRADES), s0, p0)
+    want = {("S_STORED", *r) for r in s1.collect()} | {("P_STORED", *r) for r in p1.collect()}
+    assert {tuple(r) for r in jobs.stock(spark, root).collect()} == want
+    jobs.purchase_stock(spark, folder, s0, p0, root, files)   # nothing has arrived: nothing changes
+    assert {tuple(r) for r in jobs.stock(spark, root).collect()} == want
+    changed = spark.read.parquet(f"{root}/changes")
+    assert changed.filter("tbl = 'S_STORED' AND id_owner = 3 AND id_item = 7").count() <= 6       # only what batches touched
+
+
+def test_stock_job_goes_on_after_a_failed_batch(spark, tmpdir_run):
+    folder, root = os.path.join(tmpdir_run, "new"), os.path.join(tmpdir_run, "root")
+    s0, p0 = spark.createDataFrame([(1, 1, 10)], S), spark.createDataFrame([], P)
+    land(spark, folder, [trade(1, 7, 1, 2)], jobs.TRADES)
+    jobs.purchase_stock(spark, folder, s0, p0, root, 1)
+    land(spark, folder, [trade(1, 7, 1, 3)], jobs.TRADES)
+    bad = os.path.join(folder, "zz-not-parquet.parquet")
+    with open(bad, "wb") as f:
+        f.write(b"no parquet")
+    with pytest.raises(Exception):
+        jobs.purchase_stock(spark, folder, s0, p0, root)
+    os.remove(bad)
+    land(spark, folder, [trade(1, 8, 1, 4)], jobs.TRADES)
+    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+    try:
+        jobs.purchase_stock(spark, folder, s0, p0, root)
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreMissingFiles")
+    assert rows(jobs.stock(spark, root)) == [("P_STORED", 7, 1, 5), ("P_STORED", 8, 1, 4), ("S_STORED", 1, 1, 1)]
+
+
+def test_barn_job_equals_the_fold_over_batches_and_restarts(spark, tmpdir_run):
+    barn = spark.createDataFrame([(1, 6, 1), (2, None, 4), (3, 2, 2), (4, 3, None), (5, 1, 3)], BARN)
+    rnd = random.Random(4)
+    arr = [(i, rnd.choice([1, 1, 1, 2, 3, 4, 5, 77, None]), i) for i in range(60)]
+    folder, root = os.path.join(tmpdir_run, "new"), os.path.join(tmpdir_run, "root")
+    for lot in (arr[:2], arr[2:20], arr[20:]):
+        shuffled = list(lot)
+        rnd.shuffle(shuffled)
+        land(spark, folder, shuffled, jobs.ARRIVALS)
+        jobs.barn_admission(spark, folder, barn, root)
+    want, after = apply_barn_admission(spark.createDataFrame(arr, jobs.ARRIVALS), barn)
+    key = lambda r: (r.id_animal, r.id_barn, r.arrival_seq, r.admitted)
+    assert sorted(map(key, keyed_state.decisions(spark, root).collect()), key=str) == sorted(map(key, want.collect()), key=str)
+    refused = {r.id_animal for r in keyed_state.decisions(spark, root, admitted=False).collect()}
+    assert refused == {r.id_animal for r in want.filter("NOT admitted").collect()}
+    assert rows(keyed_state.barns(spark, root).select("id_barn", "max_capacity", "occupied_spots")) == rows(after)
+
+
+def test_barn_job_holds_no_more_than_the_free_places(spark, tmpdir_run):
+    barn = spark.createDataFrame([(1, 3, 0)], BARN)
+    folder, root = os.path.join(tmpdir_run, "new"), os.path.join(tmpdir_run, "root")
+    spark.range(20_000).selectExpr("id AS id_animal", "1L AS id_barn", "20000 - id AS arrival_seq").write.parquet(folder)
+    jobs.barn_admission(spark, folder, barn, root)
+    assert rows(keyed_state.decisions(spark, root, admitted=True).select("id_animal")) == [(19997,), (19998,), (19999,)]
+    assert keyed_state.decisions(spark, root).count() == 20_000
+
+
+def test_affection_and_reward_jobs(spark, tmpdir_run):
+    rel = spark.createDataFrame([(1, 2, 10), (2, 3, 10), (3, 4, None)], REL)
+    feed, root = os.path.join(tmpdir_run, "feed"), os.path.join(tmpdir_run, "root")
+    changes = [(1, "a", "b"), (2, "a", "c"), (2, "c", "d"), (3, "x", "x"), (4, None, "y"), (4, "y", "z")]
+    for lot in (changes[:3], changes[3:]):
+        land(spark, feed, lot, jobs.FEED)
+        jobs.affection_boost(spark, feed, rel, root)
+    assert sorted(map(tuple, jobs.affection(spark, root).collect()), key=str) == sorted(
+        map(tuple, apply_affection_boost(spark.createDataFrame(changes, jobs.FEED), rel).collect()), key=str)
+    gifts, root = os.path.join(tmpdir_run, "gifts"), os.path.join(tmpdir_run, "root2")
+    p0 = spark.createDataFrame([(1, 9999, 3), (1, 5, 1)], P)
+    land(spark, gifts, [(1, 1, 1, "new"), (1, 1, 1, "NEW"), (1, 1, 1, "Used"), (1, 1, 2, "New")], jobs.DONATIONS)
+    jobs.donation_reward(spark, gifts, p0, root)
+    assert rows(jobs.player_stock(spark, root)) == [(1, 5, 1), (1, 9999, 5), (2, 9999, 1)]
