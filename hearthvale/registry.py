@@ -22,7 +22,7 @@ from hearthvale.oracle import maintenance as om
 from hearthvale.oracle import streams as os_
 from hearthvale.oracle import village as ov
 from hearthvale.oracle.bridge import with_bridge
-from hearthvale.oracle.load_groups import group_sql
+from hearthvale.oracle.load_groups import LOAD_GROUPS, full_load_sql, group_sql
 from hearthvale.plans import audit, etl, events, farm, items, loads, maintenance, streams, village
 from hearthvale.sources.bridge import Domain
 
@@ -131,13 +131,13 @@ def entries() -> dict[str, Entry]:
         "etl_cascade_graph": (_q(maintenance.etl_cascade_graph), with_bridge(om.CASCADE_GRAPH)),
         "etl_participate_factors": (_q(maintenance.etl_participate_factors), om.PARTICIPATE),
         "audit_on_write": (_q(maintenance.audit_on_write), with_bridge(oa.audit_sql())),
-        "etl_load_audit": (_q(maintenance.etl_load_audit), None),
-        # ---- the whole normalising load (54 loads + 1 update); rows-only check
+        "etl_load_audit": (_q(maintenance.etl_load_audit), oa.load_audit_sql([ol.ITEMS, ol.PEOPLE, ol.FARMS, *map(group_sql, LOAD_GROUPS)])),
+        # ---- the whole normalising load (54 loads + 1 update): its rows by groups, and their number per table
         "etl_load_items": (_q(loads.load_group, group="items"), ol.ITEMS),
         "etl_load_people": (_q(loads.load_group, group="people"), ol.PEOPLE),
         "etl_load_farms": (_q(loads.load_group, group="farms"), ol.FARMS),
         **{f"etl_load_{g}": (_q(loads.load_group, group=g), group_sql(g))
-           for g in ("places", "trade", "schedules", "animals", "social", "festivals", "museum")},
-        "etl_full_load": (_q(loads.full_load_counts), None),
+           for g in LOAD_GROUPS},
+        "etl_full_load": (_q(loads.full_load_counts), full_load_sql([ol.ITEMS, ol.PEOPLE, ol.FARMS])),
     }
     return reg
