@@ -20,6 +20,7 @@ white space takes the slower exact cut of ``_SAFE``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,12 @@ _ODD = re.compile(f"[{_WIDE}]")
 _ENDS = {chr(c) for c in range(33)}
 _GLUE, _CUT = "\ue000", "\ue001"    # private-use marks between chunks and pieces
 
+_WORD = re.compile(f" ?[{_LETTER}]+").fullmatch
+# Byte-level vocabularies write a byte as its Latin-1 character if that can be seen, the others from U+0100 on in order.
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(_UNSEEN)}
+_BYTE_SPACE = chr(_BYTE_CHARS[32])
+
 CACHE_PIECES = 250_000
 PORTION = 8 << 20    # bytes of text encoded at a time
 
@@ -45,7 +52,8 @@ class CachedEncoder:
 
     Ids are little-endian unsigned of ``dtype`` (two bytes when the vocabulary
     fits). The cache is bounded by ``CACHE_PIECES`` entries and
-    one call's words.
+    one call's words. A text that holds the string of an added token is left to
+    the library, which gives it that token's id.
     """
 
     def __init__(self, path: str, mode: str, end_id: int = 2):
@@ -53,8 +61,10 @@ class CachedEncoder:
 
         if mode not in ("word", "byte"):
             raise ValueError(f"unknown mode {mode!r}")
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True   # their strings in a text are ordinary text
+        self.plain, self.tok = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True   # pieces hold no added token
+        added = {t.content for t in self.plain.get_added_tokens_decoder().values()}
+        self.added = "|".join(sorted(re.escape(a.lower()) for a in added if a))
         self.dtype = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.word = mode == "word"
@@ -67,7 +77,18 @@ class CachedEncoder:
         """Ids of distinct pieces, a few hundred per call of the library: the
         separator between them is a token of its own that no piece holds."""
         out: dict[str, bytes] = {"": b""}
-        new = [p for p in new if p]
+        tokenize, code, rest = self.tok.model.tokenize, self.dtype.char, []
+        for p in new:
+            # Latin letters are one word, and the same after normalising: the model alone gives their ids
+            if _WORD(p) and not (self.word and (p[0] == " " or p != p.lower())):
+                if p.isascii():
+                    told = tokenize(_BYTE_SPACE + p[1:] if p[0] == " " else p)
+                else:
+                    told = tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))
+                out[p] = array(code, [t.id for t in told]).tobytes()
+            elif p:
+                rest.append(p)
+        new = rest
         joined = "".join(new)
         if self.mark in joined or _ODD.search(joined.replace(" ", "")) or " " in new:
             odd = [p for p in new if p == " " or self.mark in p or _ODD.search(p, 1) or (p[0] != " " and _ODD.match(p))]
@@ -108,15 +129,24 @@ class CachedEncoder:
             return [c.split(_CUT) for c in cut.split(_GLUE)]
         return [_INNER.split(c) for c in chunks]
 
+    def _pieces(self, chunks: list[str], lead: str) -> list[list[str]]:
+        """Pieces of chunks that follow ``lead``; a chunk of letters is one."""
+        out = [[lead + c] for c in chunks]
+        mixed = [i for i, c in enumerate(chunks) if not c.isalpha()]
+        if mixed:
+            for i, ps in zip(mixed, self._cut([lead + chunks[i] for i in mixed])):
+                out[i] = ps
+        return out
+
     def _chunk_ids(self, chunks: list[str]) -> list[bytes | None]:
         """Ids of distinct chunks; in byte mode a chunk comes without its leading
         space, and is None if white space stands at an end of it."""
         if self.word:
-            return self._learn(self._cut(chunks))
+            return self._learn(self._pieces(chunks, ""))
         good = [i for i, c in enumerate(chunks) if c and not (
             (c[-1] in _ENDS or c[-1] > "~") and _ODD.match(c[-1]) or (c[0] in _ENDS or c[0] > "~") and _ODD.match(c[0]))]
         out: list[bytes | None] = [None] * len(chunks)
-        for i, ids in zip(good, self._learn(self._cut([" " + chunks[i] for i in good]))):
+        for i, ids in zip(good, self._learn(self._pieces([chunks[i] for i in good], " "))):
             out[i] = ids
         return out
 
@@ -152,10 +182,16 @@ class CachedEncoder:
         ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)
         cut = ends[offsets + np.arange(len(offsets))]
         out = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(cut)), joined.buffers()[2]])
-        if len(whole):
+        special = np.empty(0, np.int64)
+        if self.added:
+            held = pc.match_substring_regex(texts, self.added, ignore_case=True)
+            special = np.flatnonzero(pc.fill_null(held, False).to_numpy(zero_copy_only=False))
+        if len(whole) or len(special):
             values = out.to_pylist()
             for i in whole.tolist():
                 values[i] = b"".join(self._exact(texts[i].as_py())) + self.end
+            for i in special.tolist():
+                values[i] = np.array(self.plain.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype).tobytes() + self.end
             out = pa.array(values, pa.large_binary())
         return out
 

@@ -26,14 +26,12 @@ def docs(spark):
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries._tokenizer(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries._tokenizer(name))
 
 
 ODD = ["a", "b", "Z", "é", "É", "é", "'", "'s", "don't", "I'm", "|", " | ", "\n", "\n\n", " ", "  ", "\t", "\r", "\x0b",
        "\x1c", "\x85", "\xa0", " ", "​", "　", ",", ".", "!!", "1", "23", "½", "世界", "🙂", "ß", "İ", "ſ",
-       "́", "", "", "<|endoftext|>", "\x00", "the ", " of", "and"]
+       "́", "", "", "<|endoftext|>", "<|startoftext|>", "<|ENDofTEXT|>", "<|endof", "text|>", "\x00", "the ", " of", "and", "Hello", "international", " Unbelievably", "straße", "àéîõüÿ", "Ångström", " façade", "ÀÖØ", "aà", "í", "Ð"]
 
 
 @pytest.mark.parametrize("name,mode", [(WORD, "word"), (BYTE, "byte")])
