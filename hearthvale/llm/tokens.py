@@ -61,9 +61,9 @@ class CachedEncoder:
 
         if mode not in ("word", "byte"):
             raise ValueError(f"unknown mode {mode!r}")
-        self.plain, self.tok = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.tok = path, Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True   # pieces hold no added token
-        added = {t.content for t in self.plain.get_added_tokens_decoder().values()}
+        added = {t.content for t in self.tok.get_added_tokens_decoder().values()}
         self.added = "|".join(sorted(re.escape(a.lower()) for a in added if a))
         self.dtype = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
@@ -190,8 +190,9 @@ class CachedEncoder:
             values = out.to_pylist()
             for i in whole.tolist():
                 values[i] = b"".join(self._exact(texts[i].as_py())) + self.end
+            plain = type(self.tok).from_file(self.path) if len(special) else None       # rare: not kept
             for i in special.tolist():
-                values[i] = np.array(self.plain.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype).tobytes() + self.end
+                values[i] = np.array(plain.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype).tobytes() + self.end
             out = pa.array(values, pa.large_binary())
         return out
 
