@@ -3,9 +3,12 @@ driver, call Python per key, carry columns that nobody reads through an aggregat
 
 from __future__ import annotations
 
+import os
+
 from conftest import domain, rows
 
 from hearthvale.plans import events
+from hearthvale.streaming import jobs
 
 
 def _plan(df) -> str:
@@ -22,3 +25,17 @@ def test_places_of_single_events_are_not_broadcast(spark):
     got = rows(out)              # a repeated event is one event; its rows and the place's are kept
     assert got == [(1, "a", "p8"), (5, "e", "p10"), (5, "e", "p10b"), (5, "f", "p10"), (5, "f", "p10b")]
     assert "Broadcast" not in _plan(out)
+
+
+def test_totals_are_a_streaming_aggregate_and_their_start_is_made_good(spark, tmpdir_run):
+    folder, root = os.path.join(tmpdir_run, "new"), os.path.join(tmpdir_run, "root")
+    start = spark.createDataFrame([(1, 9999, 3), (1, 5, None), (2, 9999, 1)], "id_player long, id_item long, quantity long")
+    start.limit(1).write.parquet(f"{root}/initial")          # left by a call that broke off
+    lots = [[(1, 1, 1, "new")], [(1, 1, 1, "NEW"), (3, 1, None, "new"), (4, 1, 7, "Used")]]      # item, museum, player, condition
+    for lot in lots:
+        spark.createDataFrame(lot, jobs.DONATIONS).coalesce(1).write.mode("append").parquet(folder)
+        query = jobs.donation_reward(spark, folder, start, root)
+        assert [o["operatorName"] for o in query.lastProgress["stateOperators"]] == ["stateStoreSave"]
+    assert {tuple(r) for r in jobs.player_stock(spark, root).collect()} == {(1, 9999, 5), (1, 5, None), (2, 9999, 1), (None, 9999, 1)}
+    changed = spark.read.parquet(f"{root}/changes").select("batch", "id_player", "amount")
+    assert sorted(map(tuple, changed.collect()), key=str) == [(0, 1, 4), (1, 1, 5), (1, None, 1)]
