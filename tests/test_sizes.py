@@ -7,7 +7,9 @@ import os
 
 from conftest import domain, rows
 
-from hearthvale.plans import events
+from hearthvale.operators import audit
+from hearthvale.plans import events, loads
+from hearthvale.schemas import Table
 from hearthvale.streaming import jobs
 
 
@@ -39,3 +41,35 @@ def test_totals_are_a_streaming_aggregate_and_their_start_is_made_good(spark, tm
     assert {tuple(r) for r in jobs.player_stock(spark, root).collect()} == {(1, 9999, 5), (1, 5, None), (2, 9999, 1), (None, 9999, 1)}
     changed = spark.read.parquet(f"{root}/changes").select("batch", "id_player", "amount")
     assert sorted(map(tuple, changed.collect()), key=str) == [(0, 1, 4), (1, 1, 5), (1, None, 1)]
+
+
+def test_keys_are_counted_as_numbers_and_every_key_kind_is_audited(spark):
+    spec = {t.name: t for t in [
+        Table("p", (("id", "long", True, None), ("name", "string", False, None)), ("id",), unique=(("name",),)),
+        Table("q", (("name", "string", True, None),), ("name",)),
+        Table("c", (("id", "int", False, None), ("name", "string", False, None), ("n", "long", False, None)), ("id", "n"),
+              ((("id",), "p", ("id",)), (("name",), "q", ("name",)), (("name",), "p", ("name",)), (("id", "n"), "d", ("a", "b")))),
+        Table("d", (("a", "long", True, None), ("b", "long", True, None)), ("a", "b"))]}
+    tables = {"p": spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (None, None), (None, None)], "id long, name string"),
+              "q": spark.createDataFrame([("x",), ("z",)], "name string"),
+              "c": spark.createDataFrame([(1, "x", 1), (1, "x", 1), (3, "y", None), (3, None, None), (None, "z", 2)], "id int, name string, n long"),
+              "d": spark.createDataFrame([(1, 2), (1, 2)], "a long, b long")}
+    assert tables["c"].select(audit._key(tables["c"], ("id",))).dtypes[0][1] == "bigint"
+    want = {("p", "pk_p", "pk"): 1, ("p", "uk_name", "unique"): 1, ("q", "pk_q", "pk"): 0, ("c", "pk_c", "pk"): 1, ("d", "pk_d", "pk"): 1,
+            ("c", "fk_id_p", "fk"): 2, ("c", "fk_name_q", "fk"): 1, ("c", "fk_name_p", "fk"): 1, ("c", "fk_id_n_d", "fk"): 2}
+    assert audit.key_report(tables, spec) == want
+    assert audit.key_report({"d": tables["d"].limit(0), "q": tables["q"]}, spec) == {("d", "pk_d", "pk"): 0, ("q", "pk_q", "pk"): 0}
+
+
+def test_foreign_keys_are_shuffled_with_a_number_for_their_rule():
+    sql = audit.audit_sql({"player": "v1", "character": "v2"}, {"player": ["id_player"], "character": ["id_character"]})
+    assert sql.count("fk_id_player_character") == 2          # in the report's name column alone
+
+
+def test_first_rows_carry_the_columns_that_are_read(spark):
+    stg = spark.createDataFrame([("1", "a", "b", "wide", 2), ("1", None, "c", "wide", 1), (None, "a", "a", "wide", 0)],
+                                "ID string, A string, B string, REST string, ingest_seq long")
+    first = loads._first(stg, ["ID"], ["A"], also=["B"])
+    assert "REST" not in _plan(first).split("LocalTableScan")[0].split("Scan ExistingRDD")[0]
+    assert rows(first) == [("1", "a", "b")]
+    assert rows(loads._first(stg, ["ID"], variant="none", also=["B"])) == [("1", "c")]
