@@ -225,3 +225,26 @@ def test_cascade_delete_follows_the_declared_parents(spark):
     }
     out = cascade_delete(frames, "a", spark.createDataFrame([(1,)], "x long"), spec)
     assert [sorted(r[0] for r in out[k].collect()) for k in "abcd"] == [[2], [11, 12], [101, 102], [5]]
+
+
+def test_guards_against_empty_tables_cost_no_shuffle(spark):
+    from hearthvale.plans import loads
+
+    new = spark.range(1000).select(F.col("id").alias("id_shop"), F.lit(1).cast("bigint").alias("id_schedule"))
+    rows = loads.append_new(new, loads._empty(spark, "follow"), ["id_shop", "id_schedule"])
+    assert rows.count() == 1000
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan, plan
+
+
+def test_staged_extracts_hold_the_columns_read(spark):
+    from hearthvale.plans import loads
+    from hearthvale.sources.staging import STAGING_COLUMNS
+
+    df = spark.createDataFrame([("1", "a", 0), (None, "b", 1)], "ID string, NAME string, ingest_seq long")
+    held = loads._Staged({"X": df}, {"X": ("ID",)})["X"]
+    assert held.columns == ["ID"] and sorted(r.ID or "" for r in held.collect()) == ["", "1"]
+    for group, read in loads._COLUMNS.items():
+        for name, columns in read.items():
+            assert set(columns) <= {*STAGING_COLUMNS[name], "ingest_seq"}, (group, name)
+    assert set(loads._COLUMNS) == set(loads.GROUPS)
