@@ -252,6 +252,29 @@ def test_passages_edited_at_even_steps_and_at_random(spark):
         assert sum((i, i + 1) in got for i in range(80 * k, 80 * k + 80, 2)) >= 36, kind
 
 
+def test_passage_classes_have_a_row_per_document(spark):
+    rnd = random.Random(9)
+    new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    base, shared, tail = new(300), new(80), new(90)
+    texts = {i: [w if rnd.random() > 0.04 else f"e{rnd.random()}".replace(".", "") for w in base] for i in range(60)}      # near copies
+    texts |= {100: new(20) + shared + new(30), 101: new(50) + shared + new(40) + tail, 102: tail + new(60), 200: new(300), 201: new(20)}
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    rows += [(101, " ".join(texts[7])), (None, " ".join(new(9) + shared)), (100, rows[60][1])]       # a key of two texts, no key, a row twice
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    links, got = passages.shared_passages(d).collect(), passages.passage_classes(d).collect()
+    assert len(links) > 4 * len(got)                               # each near copy meets several representatives
+    assert {r.doc_id for r in got} == {x for r in links for x in (r.doc_id, r.other_id)}
+    assert len(got) == len({(r.doc_id, r.text_hash) for r in got}) == 60 + 3 + 2 and sum(r.n_links for r in got) == 2 * len(links)
+    of = {(r.doc_id, r.text_hash): r for r in got}
+    copies = [r for r in got if r.doc_id is not None and r.doc_id < 60]
+    assert {r.class_id for r in copies} == {0} and len({r.class_hash for r in copies}) == 1
+    both = sorted((r for r in got if r.doc_id == 101), key=lambda r: r.class_id)
+    assert [r.class_id for r in both] == [0, 100]                  # each text has a class of its own
+    assert sorted(r.doc_id or -1 for r in got if r.class_id == 100) == [-1, 100, 101, 102]
+    stretches = [(s.begin, s.end) for s in both[1].passages]
+    assert stretches == [(50, 130), (170, 260)] and both[1].n_words == 170 and len(of) == 65
+
+
 def test_chains_are_collinear_and_disjoint():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
