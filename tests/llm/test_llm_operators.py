@@ -275,6 +275,37 @@ def test_passage_classes_have_a_row_per_document(spark):
     assert stretches == [(50, 130), (170, 260)] and both[1].n_words == 170 and len(of) == 65
 
 
+def test_stretches_aligned_as_by_the_full_table():
+    rng = np.random.default_rng(4)
+
+    def plain(a, b):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+        return t[-1, -1]
+
+    def run(a, b):
+        best, score, same, kept = 0, 0, 0, (0, 0)
+        for i, (x, y) in enumerate(zip(a, b)):
+            score, same = score + (1 if x == y else -1), same + (x == y)
+            if max(best, 0) - score >= passages.DROP:
+                break
+            if score > best:
+                best, kept = score, (i + 1, same)
+        return kept
+
+    for _ in range(1500):
+        a = rng.integers(0, rng.integers(2, 30), rng.integers(0, 25)).astype("<u2")
+        b = a.copy() if rng.random() < 0.6 else rng.integers(0, 30, rng.integers(0, 25)).astype("<u2")
+        for _ in range(rng.integers(0, 4)):
+            if len(b):
+                at = rng.integers(len(b))
+                b = [np.delete(b, at), np.insert(b, at, 99), np.r_[b[:at], [98], b[at + 1:]].astype("<u2")][rng.integers(3)]
+        assert passages.edit_matches(a, b) == plain(a, b)
+        assert passages.extend(a, b) == run(a, b)
+
+
 def test_chains_are_collinear_and_disjoint():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
