@@ -8,8 +8,8 @@
   keys whose slot holds a 32-bit fingerprint, the key's first row and its
   number of copies (copies lie side by side).
 
-``manifest`` (Parquet) names the files of the committed task attempts only,
-with each shard's key range and totals; files of failed attempts are never
+``manifest`` (Parquet, one file) names the files of the committed task attempts
+only, with each shard's key range and totals; files of failed attempts are never
 read. ``read_keys`` routes each asked key by the manifest to its shards (a key
 with very many copies may span several) and reads its ids through the index.
 
@@ -195,6 +195,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, mode: str = "byte",
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     (pairs.repartitionByRange(n, *order).sortWithinPartitions(*order)
      .mapInArrow(write, "shard int, name string, rows long, tokens long, nulls long, low long, high long")
+     .repartition(1)       # a row per shard; Spark starts processes (chmod) in the executor for each file that a task writes
      .write.mode("errorifexists").parquet(f"{path.rstrip('/')}/manifest"))
 
 

@@ -85,6 +85,17 @@ def test_store_hot_key_nulls_and_absent_keys(spark):
     assert sorted(r.start for r in got)[0] == 0 and len({r.start for r in got}) == 303
 
 
+def test_store_manifest_is_one_file_with_a_row_per_shard(spark):
+    path = scratch(spark, "store")
+    rows = [(i, f"text {i}") for i in range(400)] + [(None, "lost")]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path, queries._tokenizer(BYTE), shards=6)
+    manifest = spark.read.parquet(f"{path}/manifest")
+    got = sorted(manifest.collect())
+    assert len(manifest.inputFiles()) == 1
+    assert [r["shard"] for r in got] == list(range(6)) and sum(r["rows"] for r in got) == 401 and sum(r["nulls"] for r in got) == 1
+    assert all(a["high"] < b["low"] for a, b in zip(got, got[1:]))
+
+
 def test_word_hashes_of_long_and_null_texts():
     h, cut = wordhash.word_hashes(pa.array(["The the, THE é-è", None, "", "a" * 3_000_000 + " b", " b c"]))
     assert cut.tolist() == [0, 5, 5, 5, 7, 9] and h[0] == h[1] == h[2] and h[6] == h[7]
