@@ -317,6 +317,46 @@ def test_stretches_aligned_as_by_the_full_table():
         assert passages.extend(a, b) == run(a, b)
 
 
+def test_seeds_grouped_over_batches_with_null_documents(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(h), None if d == 3 else int(d), int(a), int(p)) for h, d, a, p in rng.integers(0, [40, 9, 2, 50], (700, 4))]
+    rows += [(2 ** 62, i, 0, 5) for i in range(120)] + [(-2 ** 63, None, 1, 1), (2 ** 63 - 1, 1, 1, 1)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")     # groups go over several batches
+    try:
+        frame = passages.grouped(spark.createDataFrame(rows, "h long, doc long, alt int, pos int"))
+        got = {r["h"]: [tuple(x) for x in r["at"]] for r in frame.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = {}
+    for h, *o in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2:])):
+        want.setdefault(h, []).append(tuple(o))
+    assert got == {h: at for h, at in want.items() if len(at) > 1}
+    assert "ObjectHashAggregate" not in frame._jdf.queryExecution().toString()
+
+
+def test_seeds_of_documents_taken_together_as_of_each_alone(monkeypatch):
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, n)) for n in rng.integers(0, 60, 80)] + ["", "a", "a " * 200, "a a a", None, "a " * 90]
+
+    def seeds(batches):
+        run = passages.seeds(Rows())
+        cols = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in b], pa.int64()), pa.array([0] * len(b), pa.int32()), pa.array([t for _, t in b], pa.string())],
+                                           names=["doc", "alt", "text"]) for b in batches]
+        return [r for b in run(iter(cols)) for r in b.to_pylist()]
+
+    docs = list(enumerate(texts))
+    monkeypatch.setattr(passages, "WINDOW", 100)
+    together = seeds([docs])
+    assert together == seeds([[d] for d in docs]) and len({r["doc"] for r in together}) > 60
+    for d in (82, 85):         # a run of one gram: every RUN-th of it, if its hash is picked at all
+        assert [r["pos"] for r in together if r["doc"] == d] in ([], list(range(0, len(texts[d].split()) - passages.K + 1, passages.RUN)))
+
+
 def test_chains_are_collinear_and_disjoint():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
