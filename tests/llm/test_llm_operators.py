@@ -247,6 +247,38 @@ def test_passages_whose_halves_stand_earlier_elsewhere(spark, copies):
     assert pairs == {frozenset((n, n + 1)): (60, 1.0), frozenset((n + 3, n + 4)): (80, 1.0)}
 
 
+def test_edited_passage_of_frequent_seeds_alone(spark):
+    rnd = random.Random(12)
+    new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
+
+    def seeded(n):                                                  # words that hold a seed
+        while True:
+            words = new(n)
+            g = wordhash.grams(wordhash.word_hashes(pa.array([" ".join(words)]))[0], passages.K)
+            if (g.view(np.uint64) % np.uint64(passages.RARITY) == 0).any():
+                return words
+
+    parts, between = [new(20) for _ in range(4)], [seeded(5) for _ in range(3)]
+    texts = [new(10) + part + new(10) for part in parts + between for _ in range(9)]     # each stands earlier, and often
+    edited = parts[0] + sum((b + p for b, p in zip(between, parts[1:])), [])
+    texts += [new(40) + sum(parts, []) + new(20), new(10) + edited + new(50)]
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert [(r.doc_id, r.begin, r.end, r.other_id, r.other_begin, r.other_end, round(r.identity, 2)) for r in got.collect()] == [
+        (64, 10, 105, 63, 40, 120, 0.84)]
+
+
+def test_every_two_occurrences_of_a_seed_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(passages, "PAIRED", 8)
+    monkeypatch.setattr(passages, "PAIRS", 20)
+    rng = np.random.default_rng(5)
+    seeds = {h: sorted({(None if d == 0 else int(d), int(a), int(p)) for d, a, p in rng.integers(0, [9, 2, 4], (n, 3))},
+                       key=lambda x: (x[0] is not None, x)) for h, n in enumerate([1, 2, 5, 8, 9, 16, 17, 30, 60])}
+    frame = spark.createDataFrame(list(seeds.items()), "h long, at array<struct<doc: long, alt: int, pos: int>>")
+    key = lambda x: tuple((v is not None, v) for v in x)
+    got = sorted((tuple(r) for r in passages.linked(frame).collect()), key=key)
+    assert got == sorted(((*r[:2], *q[:2], r[2], q[2]) for at in seeds.values() for i, r in enumerate(at) for q in at[i + 1:] if r[:2] != q[:2]), key=key)
+
+
 def test_passages_edited_at_even_steps_and_at_random(spark):
     rnd = random.Random(7)
     new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
