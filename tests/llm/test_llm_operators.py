@@ -295,6 +295,25 @@ def test_passages_edited_at_even_steps_and_at_random(spark):
         assert sum((i, i + 1) in got for i in range(80 * k, 80 * k + 80, 2)) >= 36, kind
 
 
+def test_every_copy_is_linked_to_every_other_document_of_the_passage(spark):
+    rnd = random.Random(3)
+    new = lambda n: " ".join(f"v{rnd.randrange(10 ** 6)}" for _ in range(n))
+    shared = new(90)
+    texts = {1: "a " + shared, 5: "a " + shared, None: "a " + shared, 3: shared + " " + new(60), 4: shared + " " + new(60), 7: new(80)}
+    texts[9] = texts[4]
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    links = passages.shared_passages(d).collect()
+    key = lambda x: (x is not None, x or 0)
+    docs = sorted((x for x in texts if x != 7), key=key)
+    assert sorted(((r.other_id, r.doc_id) for r in links), key=lambda r: [key(x) for x in r]) == [(a, b) for i, a in enumerate(docs) for b in docs[i + 1:]]
+    for r in links:
+        begin, end = (texts[x].split()[y:z] for x, y, z in ((r.doc_id, r.begin, r.end), (r.other_id, r.other_begin, r.other_end)))
+        assert begin == end and (len(begin) == 90) == (texts[r.doc_id] != texts[r.other_id])
+    got = passages.passage_classes(d).collect()
+    assert {r.doc_id: r.n_links for r in got} == {x: 5 for x in docs}
+    assert {r.class_id for r in got} == {1} and {r.doc_id: r.n_words for r in got} == {None: 91, 1: 91, 5: 91, 3: 90, 4: 150, 9: 150}
+
+
 def test_passage_classes_have_a_row_per_document(spark):
     rnd = random.Random(9)
     new = lambda n: [f"v{rnd.randrange(10 ** 6)}" for _ in range(n)]
